@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import by_batch, texts
@@ -136,12 +137,17 @@ def pii_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.withColumnRenamed("id", id_col)
 
 
-def joined(spans):
+def _is_kind(kind: str, span: Column) -> Column:
+    return span["kind"] == kind
+
+
+def joined(spans: Column) -> Column:
+    """Spans as text."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     out = pii_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter("spans", partial(_is_kind, kind))).cast("bigint").alias(f"n_{kind}") for kind in BASE]
     return out.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
