@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.bpe import op1_byte_bpe
 from weftline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from weftline.llm.mixing import op8_mixing
 from weftline.llm.pii import op3_pii
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op3_pii": op3_pii,
+        "op8_mixing": op8_mixing,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
