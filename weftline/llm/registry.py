@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.bpe import op1_byte_bpe
 from weftline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from weftline.llm.language import op9_language
 from weftline.llm.mixing import op8_mixing
 from weftline.llm.pii import op3_pii
+from weftline.llm.token_files import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op3_pii": op3_pii,
+        "op5_token_files": op5_token_files,
         "op8_mixing": op8_mixing,
+        "op9_language": op9_language,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
