@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.ann import op6_permutation_index
 from weftline.llm.bpe import op1_byte_bpe
 from weftline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from weftline.llm.language import op9_language
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op3_pii": op3_pii,
         "op5_token_files": op5_token_files,
+        "op6_permutation_index": op6_permutation_index,
         "op8_mixing": op8_mixing,
         "op9_language": op9_language,
         "op10_exact_dedup": op10_exact_dedup,
