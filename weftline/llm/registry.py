@@ -11,6 +11,7 @@ from weftline.llm.bpe import op1_byte_bpe
 from weftline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from weftline.llm.language import op9_language
 from weftline.llm.mixing import op8_mixing
+from weftline.llm.near_dedup import op2_near_dedup
 from weftline.llm.pii import op3_pii
 from weftline.llm.token_files import op5_token_files
 
@@ -18,6 +19,7 @@ from weftline.llm.token_files import op5_token_files
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_near_dedup": op2_near_dedup,
         "op3_pii": op3_pii,
         "op5_token_files": op5_token_files,
         "op6_permutation_index": op6_permutation_index,
