@@ -10,6 +10,7 @@ from weftline.llm.ann import op6_permutation_index
 from weftline.llm.bpe import op1_byte_bpe
 from weftline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from weftline.llm.language import op9_language
+from weftline.llm.line_dedup import op4_line_dedup
 from weftline.llm.mixing import op8_mixing
 from weftline.llm.near_dedup import op2_near_dedup
 from weftline.llm.pii import op3_pii
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op2_near_dedup": op2_near_dedup,
         "op3_pii": op3_pii,
+        "op4_line_dedup": op4_line_dedup,
         "op5_token_files": op5_token_files,
         "op6_permutation_index": op6_permutation_index,
         "op8_mixing": op8_mixing,
