@@ -258,21 +258,30 @@ def decode(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", ids_
     return rows.mapInArrow(by_batch(run), f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
+def round_trip(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
+
+    ``with_ids`` adds ``ids``, packed as in TextCodec. Nulls, repeats and empty tables as in
+    encode().
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(vocab, pattern)
-        n, a, b = [], [], []
+        n, a, b, every = [], [], [], []
         for t in texts(batch.column(1)):
             ids = c.encode(t)
             n.append(len(ids) // 4)
             a.append(hashlib.sha256(ids).hexdigest())
             b.append(hashlib.sha256(c.decode(ids)).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                every.append(ids)
+        cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        return pa.RecordBatch.from_arrays(cols + [pa.array(every, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
     rows, kind = _with_text(df, id_col, text_col)
-    return rows.mapInArrow(by_batch(run), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return rows.mapInArrow(by_batch(run), schema).withColumnRenamed("id", id_col)
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:

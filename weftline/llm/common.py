@@ -79,3 +79,16 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[
 def texts(column: pa.Array) -> list[str]:
     """Python strings; a null is empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def drop_ids(df: DataFrame, id_col: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """Rows whose id is not in the one column of ``ids``.
+
+    Rows that a filter of fixed size shows to be safe are not shuffled.
+    """
+    gone = ids.toDF("__gone").distinct()
+    filt = bitmap(gone.select(slot(bits, F.col("__gone")).alias("at")), "at")
+    rows = mark(df, slot(bits, F.col(id_col)), filt, "__maybe")
+    safe = rows.where("not __maybe").drop("__maybe")
+    rest = rows.where("__maybe").drop("__maybe").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return safe.unionByName(rest)

@@ -193,6 +193,21 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return df.select(F.col(text_col).alias("__text"), F.col(id_col), *keep).mapInArrow(by_batch(run), out)
 
 
+def known_only(df: DataFrame, model: Model, least_coverage: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language that knows at least that share of its n-grams.
+
+    Rows pass with all their columns; null, blank and foreign texts go.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = shared.value.predict(texts(batch.column(at)))
+        return batch.filter(pa.array([x != UNKNOWN and c >= least_coverage for x, _, c in got], pa.bool_()))
+
+    return df.mapInArrow(by_batch(run), df.schema)
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.ann import op6_permutation_index
 from weftline.llm.bpe import op1_byte_bpe
 from weftline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from weftline.llm.language import op9_language
+from weftline.llm.licenses import op7_license_scan
 from weftline.llm.line_dedup import op4_line_dedup
 from weftline.llm.mixing import op8_mixing
 from weftline.llm.near_dedup import op2_near_dedup
@@ -25,9 +27,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_token_files": op5_token_files,
         "op6_permutation_index": op6_permutation_index,
+        "op7_license_scan": op7_license_scan,
         "op8_mixing": op8_mixing,
         "op9_language": op9_language,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
