@@ -132,7 +132,8 @@ class Engine:
         dag = document if isinstance(document, DagSpec) else parse_dag(document)
         seen: dict[str, Observation] = {}
         frames = compile_dag(self.spark, dag, observations=seen, **{"mode": self.mode, "strict": self.strict} | options)
-        job = self.jobs[(j := Job(self.spark, dag, frames, seen, output)).job_id] = j
+        job = Job(self.spark, dag, frames, seen, output)
+        self.jobs[job.job_id] = job
         return job.start() if background else job.run()
 
     def job(self, job_id: str) -> Job:

@@ -73,17 +73,17 @@ def _csv_dynamic(header: list[str], rows: DataFrame) -> DataFrame:
     n = len(header)
     extra = F.when(F.size("cells") > n, F.transform(F.sequence(F.lit(n), F.size("cells") - 1), lambda i: F.concat(F.lit("col"), i.cast("string"))))
     keys = F.concat(head, F.coalesce(extra, F.array().cast("array<string>")))
-    shadowed = [i for i, name in enumerate(header) if names[name] != i]
 
     def value(c: Column) -> Column:
         whole, real = F.when(c.rlike(WHOLE_TEXT), c.try_cast("bigint")), F.when(c.rlike(NUMBER_TEXT), c.try_cast("double"))
         real = F.when(F.abs(real) < float("inf"), real)
         return F.coalesce(F.when(whole.isNotNull(), whole.cast("variant")), real.cast("variant"), c.cast("variant"))
 
-    pairs = F.arrays_zip(F.slice(keys, 1, F.size("cells")).alias("k"), F.col("cells").alias("v"))
-    if shadowed:
+    here = F.slice(keys, 1, F.size("cells"))
+    pairs = F.zip_with(here, "cells", lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    if len(names) < n:
         # of two columns with one name the last that the row has stays
-        pairs = F.filter(pairs, lambda p, i: ~F.exists(F.slice(keys, F.lit(1), F.size("cells")), lambda k: F.lit(False)) | (F.size(F.filter(F.slice(F.slice(keys, 1, F.size("cells")), i + 2, F.size("cells")), lambda k: k == p["k"])) == 0))
+        pairs = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(here, i + 2, F.size("cells")), p["k"]))
     made = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], value(p["v"]))))
     return rows.select(F.to_variant_object(made).alias("rec"))
 
