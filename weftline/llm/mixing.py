@@ -135,7 +135,7 @@ def mix(
     extra = F.when(F.col("before") + F.col("block_size") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0)
     sums = cut(sums.select("source", "block", "before", extra.alias("extra")))
 
-    quotas = goal.join(sums.groupBy(F.col("source").alias("s")).agg(F.sum(F.signum("extra")).cast("bigint").alias("more")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    quotas = goal.join(sums.groupBy(F.col("source").alias("s")).agg(F.max(F.when(F.col("extra") > 0, F.col("block") + 1).otherwise(0)).alias("more")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     stratum = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(STRATA))
     quotas = quotas.select("source", stratum.alias("stratum"), (F.col("passes") * F.col("n_blocks") + F.col("more")).alias("quota"))
     first = F.coalesce(F.sum("quota").over(Window.partitionBy("stratum").orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
