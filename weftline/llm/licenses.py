@@ -117,8 +117,9 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], thres
 
 
 def directory(path: Column) -> Column:
-    """The part of a path before its last slash; the root is empty."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    """The part of a path before its last slash; the root is empty, that of a null is null."""
+    inner = F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    return F.when(path.isNotNull(), inner)
 
 
 def nearest(directories: DataFrame, licensed: DataFrame) -> DataFrame:
