@@ -40,7 +40,8 @@ MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
 def normal(text: str) -> bytes:
-    return b" " + text.lower().encode("utf-8", "replace").translate(SPACED) + b" "
+    """Bytes to take n-grams of; never fewer than one n-gram has."""
+    return b"  " + text.lower().encode("utf-8", "replace").translate(SPACED) + b"  "
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -108,8 +109,11 @@ class Model:
             else:
                 data = b"".join(x for _, x in some)
                 n = np.array([len(x) for _, x in some])
-                g = grams(data + b" " * (GRAM - 1))
-                hits = self.hits(g, np.concatenate([[0], np.cumsum(n)[:-1]]))
+                # n-grams that reach into the next text are segments of their own, left out
+                ends = np.cumsum(n)
+                cuts = np.column_stack([ends - n, ends - GRAM + 1]).ravel()
+                hits = self.hits(grams(data + b" " * GRAM), cuts)[::2]
+                n = n - GRAM + 1
             for (i, _), b, s, c in zip(some, *(x.tolist() for x in self.decide(hits, n)), strict=True):
                 out[i] = (self.languages[b], min(s, 1.0), min(c, 1.0))
             some.clear()
