@@ -12,7 +12,7 @@ def doc(nodes, edges, **more):
     return {"nodes": [{"id": k, "operator": v} for k, v in nodes], "edges": [{"from": a, "to": b} for a, b in edges], **({"partitions": 2} | more)}
 
 
-@pytest.mark.parametrize("bad", ["", "equals", "equals:a", "equals:=5", "gt:a", "gt:a=", "gt:a=x", "gt:a=1_0", "lt:=3", "nope", "always_true:", "ne:a=1"])
+@pytest.mark.parametrize("bad", ["", "equals", "equals:a", "equals:=5", "gt:a", "gt:a=", "gt:a=x", "gt:a=1_0", "gt:a= 1", "lt:=3", "nope", "always_true:", "ne:a=1"])
 def test_bad_predicates(bad):
     with pytest.raises(NotationError):
         parse_predicate(bad)

@@ -69,7 +69,8 @@ def parse_predicate(predicate: str) -> Predicate:
     if head == "equals":
         return Predicate("equals", field=field, text=value)
     try:
-        number = float(value.replace("_", "x"))
+        # float() also takes blanks around a number and underscores within
+        number = float("x" if value != value.strip() or "_" in value else value)
     except ValueError:
         raise NotationError(f"invalid predicate '{predicate}'") from None
     return Predicate(head, field=field, number=number)
