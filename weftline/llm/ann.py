@@ -29,6 +29,7 @@ SHARE = 0.2
 LEAST = 256
 SEGMENT = 4096
 QUERIES = 512
+#: Tasks that search, at least; more where the session has more shuffle partitions.
 LANES = 16
 
 #: Approximate cosines nearer than this are a tie, which the smaller id wins.
@@ -146,7 +147,7 @@ def search(
     prefix: int = PREFIX,
     share: float = SHARE,
     least: int = LEAST,
-    lanes: int = LANES,
+    lanes: int | None = None,
 ) -> DataFrame:
     """Each query's nearest others: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
@@ -160,6 +161,7 @@ def search(
     Every vector is indexed; ``n_pivots`` vectors are the sample that the index is fitted on.
     """
     spark = df.sparkSession
+    lanes = lanes or max(LANES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sound = df.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull())
     sound = sound.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     common = sound.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
