@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,8 +36,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Kept:
+    """A table written to the shared folder, smaller than a checkpoint of wide rows.
+
+    ``drop()`` removes it once nothing lazy depends on it; else it goes when Python ends.
+    """
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        self.path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = spark.read.parquet(self.path)
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._conf = spark._jsc.hadoopConfiguration()
+        atexit.register(self._at_exit)
+
+    def drop(self) -> None:
+        self._fs.getFileSystem(self._conf).delete(self._fs, True)
+
+    def _at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            self.drop()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no frame can read any more.
+
+    Spark does so when the driver's JVM collects its garbage, which may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def slot(bits: int, *cols: Column) -> Column:

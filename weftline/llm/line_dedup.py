@@ -7,10 +7,15 @@ earlier line stays itself; so the outcome does not depend on any order of work.
 Lines with equal sets are one class, placed where the first of them stands. Words are
 ordered by rarity, counted over the whole corpus in a table of fixed size; any order gives
 the right result, a good one gives few candidates. Two sets that match share a word among
-the first few of each (prefix filter), and the places of that word bound how much they can
-share (positional filter), as their sizes do (length filter). What passes is verified on
-full sets. A class needs one earlier match only: the first class that posts a word is tried
-first, and classes that have been matched leave before the next, eight times larger, round.
+the first few of each (prefix filter). At the first word that they share, its places bound
+what they can share in all (positional filter), as their sizes do (length filter), and 64
+parities of each set bound how much they differ. What passes is verified on full sets.
+
+A word's classes meet in one task, in order. Up to ``SMALL`` of them are all put to the
+filters, and the candidates leave unless they are a dense family; of such, and of larger
+words, the first few classes are compared with the rest, and the rest comes back in later
+rounds, with ever more that are compared first and without asking again about classes that
+have been matched. A task holds ``SMALL`` classes of a word, or those compared first.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bitmap, by_batch, cut, mark, slot
+from weftline.llm.common import Kept, bitmap, by_batch, cut, mark, release, slot
 from weftline.llm.shingles import BLOCK, mixed, word_hashes
 
 #: Similarity of a match, in per cent.
@@ -30,8 +35,12 @@ PERCENT = 80
 #: Counters of word frequency, a power of two, and bits of the two filters.
 COUNTERS = 1 << 20
 FILTER_BITS = 1 << 24
-#: Growth of the number of classes that are tried from round to round.
-GROWTH = 8
+#: Classes of a word that a task holds at once, and candidates for each of them that may
+#: leave it in one round.
+SMALL, EACH = 1024, 8
+#: Classes that are compared first where there are more of either, and by how much their
+#: number grows from round to round.
+FIRST, GROWTH = 4, 16
 
 
 def _lines(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -96,13 +105,22 @@ def _class_keys(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a.view(np.int64), b.view(np.int64)
 
 
+def _parities(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each line 64 parities: how many of its words fall on a bit, odd or even."""
+    out = np.zeros(len(n), np.uint64)
+    some = n > 0
+    if some.any():
+        out[some] = np.bitwise_xor.reduceat(np.uint64(1) << (words & np.uint64(63)), (np.cumsum(n) - n)[some])
+    return out.view(np.int64)
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     """Two sets that match share one of so many first words."""
     return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, counts: np.ndarray, percent: int) -> DataFrame:
-    """doc, line, c1, c2, n and prefix (32 bits of each word) of every line with words."""
+    """doc, line, c1, c2, n, parities and prefix (32 bits of each word) of lines with words."""
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +134,12 @@ def signatures(df: DataFrame, id_col: str, text_col: str, counts: np.ndarray, pe
                 place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
                 short = (words[place < np.repeat(size, n)] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[some])]).astype(np.int32)), pa.array(short))
-                got = [ids[of[some]], no[some], c1[some], c2[some], n[some]]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, got, kinds), prefix], names=["doc", "line", "c1", "c2", "n", "prefix"])
+                got = [ids[of[some]], no[some], c1[some], c2[some], n[some], _parities(words, n)[some]]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, got, kinds), prefix], names=["doc", "line", "c1", "c2", "n", "parities", "prefix"])
 
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc bigint, line int, c1 bigint, c2 bigint, n int, prefix array<int>")
+    return rows.mapInArrow(run, "doc bigint, line int, c1 bigint, c2 bigint, n int, parities bigint, prefix array<int>")
 
 
 def _full_sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
@@ -143,7 +161,7 @@ def _full_sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, bit
         packed = [np.unique(words[e - k : e]).tobytes() for e, k in zip(ends, n, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc", "line", "set"])
 
-    return rows.mapInArrow(by_batch(run), "doc bigint, line int, set binary").dropDuplicates(["doc", "line"])
+    return rows.mapInArrow(by_batch(run), "doc bigint, line int, set binary")
 
 
 def _matches(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
@@ -164,40 +182,179 @@ def _matches(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     return met.select("doc", "line", "a_set", "set").mapInArrow(run, "doc bigint, line int").distinct()
 
 
-def _candidates(late: DataFrame, early: DataFrame, percent: int) -> DataFrame:
-    """Pairs of an earlier and a later class that post one word and pass the filters."""
-    e = early.select(F.col("word").alias("e_word"), F.col("doc").alias("a_doc"), F.col("line").alias("a_line"), F.col("n").alias("e_n"), F.col("place").alias("e_place"), F.col("at").alias("e_at"))
-    lengths = 100 * F.least("n", "e_n") >= percent * F.greatest("n", "e_n")
-    # words still to come, this one included, on the side that has fewer
-    left = F.least(F.col("n") - F.col("place"), F.col("e_n") - F.col("e_place"))
-    overlap = (100 + percent) * (left + F.least("place", "e_place")) >= percent * (F.col("n") + F.col("e_n"))
-    met = late.join(e, F.col("word") == F.col("e_word")).where((F.col("e_at") < F.col("at")) & lengths & overlap)
-    return met.select("a_doc", "a_line", "doc", "line").distinct()
+POSTING = ("word", "doc", "line", "n", "place", "parities", "open")
 
 
-def matched_classes(df: DataFrame, firsts: DataFrame, id_col: str, text_col: str, percent: int, bits: int) -> DataFrame:
-    """(doc, line) of the classes in ``firsts`` that match an earlier class."""
-    posted = firsts.select("doc", "line", "n", F.posexplode("prefix").alias("place", "word"))
-    # a word that one class posts alone leads nowhere
-    slots = bitmap(firsts.select(F.explode(F.array_distinct("prefix")).alias("word")).select(slot(bits, F.col("word")).alias("at")), "at", repeated=True)
-    posted = mark(posted, slot(bits, F.col("word")), slots, "many").where("many").drop("many")
-    turn = F.row_number().over(Window.partitionBy("word").orderBy("doc", "line"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("word"))
-    posted = cut(posted.withColumn("at", turn).withColumn("size", size).where("size > 1").drop("size"))
-    stored = cut(_full_sets(df, posted.select("doc", "line").distinct(), id_col, text_col, bits))
-    found, low, high = None, 0, 1
-    open_ = posted
-    while True:
-        early = posted.where(f"at > {low} and at <= {high}")
-        got = cut(_matches(_candidates(open_.where(f"at > {low + 1}"), early, percent), stored, percent))
-        found = got if found is None else found.unionByName(got)
-        open_ = cut(open_.where(f"at > {high + 1}").join(got.select(F.col("doc").alias("g_doc"), F.col("line").alias("g_line")), (F.col("doc") == F.col("g_doc")) & (F.col("line") == F.col("g_line")), "left_anti"))
-        if not open_.limit(1).count():
-            return found.distinct()
-        low, high = high, high * GROWTH
+class _Posts:
+    """Postings as columns, in order of word, document and line."""
+
+    def __init__(self, cols: list[np.ndarray]):
+        self.cols = cols
+        self.word, self.doc, self.line, self.n, self.place, self.parities, self.open = cols
+        self.rest = self.n - self.place
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    def part(self, where: slice | np.ndarray) -> _Posts:
+        return _Posts([c[where] for c in self.cols])
+
+    def plus(self, other: _Posts) -> _Posts:
+        return _Posts([np.concatenate(x) for x in zip(self.cols, other.cols, strict=True)])
+
+    def met(self, i: np.ndarray, j: np.ndarray, percent: int, early: _Posts | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs (i earlier, j later) those that the filters let through.
 
+        What is left from the word on bounds what two sets share, and is never more than
+        their sizes: the positional filter implies the length filter.
+        """
+        e = early or self
+        good = (100 + percent) * np.minimum(e.rest[i], self.rest[j]) >= percent * (e.n[i] + self.n[j])
+        i, j = i[good], j[good]
+        apart = np.bitwise_count((e.parities[i] ^ self.parities[j]).view(np.uint64)).astype(np.int32)
+        good = (100 + percent) * apart <= (100 - percent) * (e.n[i] + self.n[j])
+        good &= self.open[j] & ((e.doc[i] != self.doc[j]) | (e.line[i] != self.line[j]))
+        return i[good], j[good]
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, bits: int = FILTER_BITS) -> DataFrame:
+
+def _pairs(posted: DataFrame, percent: int, small: int, first: int, each: int) -> DataFrame:
+    """Candidates, and the postings of larger words that are left for another round.
+
+    Columns a_doc, a_line, doc, line of a pair, with n the parities in which it differs, or
+    those of a posting with a null a_doc.
+    """
+    names = ["a_doc", "a_line", *POSTING]
+    kinds = dict(zip(POSTING, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True))
+
+    def pairs(e: _Posts, i: np.ndarray, late: _Posts, j: np.ndarray) -> pa.RecordBatch:
+        none = {k: pa.nulls(len(i), t) for k, t in kinds.items()}
+        apart = np.bitwise_count((e.parities[i] ^ late.parities[j]).view(np.uint64))
+        none |= {"doc": pa.array(late.doc[j]), "line": pa.array(late.line[j]), "n": pa.array(apart.astype(np.int32))}
+        return pa.RecordBatch.from_arrays([pa.array(e.doc[i]), pa.array(e.line[i]), *none.values()], names=names)
+
+    def left(p: _Posts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int32()), *map(pa.array, p.cols)], names=names)
+
+    def filtered(p: _Posts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at, step = np.arange(len(p)), 1
+        while len(at):
+            at = at[: np.searchsorted(at, len(p) - step)]
+            at = at[p.word[at] == p.word[at + step]]
+            i, j = p.met(at, at + step, percent)
+            if len(i):
+                yield i, j
+            step += 1
+
+    def whole(p: _Posts) -> Iterator[pa.RecordBatch]:
+        """Words all of whose postings are here: every pair, or a dense family's first ones."""
+        got = list(filtered(p))
+        if not got:
+            return
+        i, j = (np.concatenate(x) for x in zip(*got, strict=True))
+        begin = np.flatnonzero(np.concatenate([[True], p.word[1:] != p.word[:-1]]))
+        size = np.diff(np.append(begin, len(p)))
+        of = np.repeat(np.arange(len(begin)), size)
+        dense = np.bincount(of[i], minlength=len(begin)) > each * size
+        out = ~dense[of[i]]
+        if out.any():
+            yield pairs(p, i[out], p, j[out])
+        for a, n in zip(begin[dense].tolist(), size[dense].tolist(), strict=True):
+            # classes without a candidate need not come again
+            here = np.zeros(len(p), bool)
+            here[i], here[j] = True, True
+            word = p.part(np.flatnonzero(here[a : a + n]) + a)
+            yield from split(word)
+
+    def split(word: _Posts) -> Iterator[pa.RecordBatch]:
+        heads = word.part(slice(0, first))
+        for i, j in filtered(heads):
+            yield pairs(heads, i, heads, j)
+        yield from large(heads, word.part(slice(first, None)))
+
+    def large(heads: _Posts, p: _Posts) -> Iterator[pa.RecordBatch]:
+        """Postings after the heads of one word."""
+        for k in range(len(heads)):
+            i, j = p.met(np.full(len(p), k), np.arange(len(p)), percent, heads)
+            if len(i):
+                yield pairs(heads, i, p, j)
+        if len(p):
+            yield left(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: _Posts | None = None  # the word that the last batch broke off in, if few so far
+        heads: _Posts | None = None  # the heads of that word, if many
+        for b in batches:
+            p = _Posts([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            if not len(p):
+                continue
+            if heads is not None:
+                k = int(np.searchsorted(p.word, heads.word[0], "right"))
+                yield from large(heads, p.part(slice(0, k)))
+                p = p.part(slice(k, None))
+                if not len(p):
+                    continue
+                heads = None
+            if held is not None:
+                p, held = held.plus(p), None
+            begin = np.flatnonzero(np.concatenate([[True], p.word[1:] != p.word[:-1]]))
+            size = np.diff(np.append(begin, len(p)))
+            # the last word may go on in the next batch
+            few = size <= small
+            few[-1] = False
+            yield from whole(p.part(np.repeat(few, size)))
+            for a, n in zip(begin[~few].tolist(), size[~few].tolist(), strict=True):
+                word = p.part(slice(a, a + n))
+                if n > small:
+                    heads = word.part(slice(0, first))
+                    yield from split(word)
+                    if a + n < len(p):
+                        heads = None
+                else:
+                    held = word
+        if held is not None:
+            yield from whole(held)
+
+    dealt = posted.select(*POSTING).repartition("word").sortWithinPartitions("word", "doc", "line")
+    return dealt.mapInArrow(run, "a_doc bigint, a_line int, word int, doc bigint, line int, n int, place int, parities bigint, open boolean")
+
+
+def _verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, percent: int, bits: int) -> DataFrame:
+    """The later classes of those pairs (a checkpoint) that match."""
+    needed = pairs.select("doc", "line").unionByName(pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")))
+    return cut(_matches(pairs, cut(_full_sets(df, needed, id_col, text_col, bits)), percent))
+
+
+def matched_classes(df: DataFrame, firsts: DataFrame, id_col: str, text_col: str, percent: int, bits: int, small: int = SMALL, first: int = FIRST, each: int = EACH) -> DataFrame:
+    """(doc, line) of the classes in ``firsts`` that match an earlier class."""
+    posted = firsts.select("doc", "line", "n", "parities", F.lit(True).alias("open"), F.posexplode("prefix").alias("place", "word"))
+    found = None
+    while True:
+        met = cut(_pairs(posted, percent, small, first, each))
+        release(df.sparkSession)
+        pairs = met.where("a_doc is not null").select("a_doc", "a_line", "doc", "line", "n").distinct()
+        # one match is enough: the likeliest candidate of each class first, then the others
+        # of those that it does not match
+        best = pairs.groupBy("doc", "line").agg(F.min(F.struct("n", "a_doc", "a_line")).alias("b")).select("b.a_doc", "b.a_line", "doc", "line")
+        got = _verified(df, cut(best), id_col, text_col, percent, bits)
+        done = got.select(F.col("doc").alias("g_doc"), F.col("line").alias("g_line"))
+        others = cut(pairs.drop("n").join(done, (F.col("doc") == F.col("g_doc")) & (F.col("line") == F.col("g_line")), "left_anti"))
+        release(df.sparkSession)
+        if others.limit(1).count():
+            got = cut(got.unionByName(_verified(df, others, id_col, text_col, percent, bits)).distinct())
+        found = got if found is None else cut(found.unionByName(got).distinct())
+        rest = met.where("a_doc is null")
+        release(df.sparkSession)
+        if not rest.where("open").limit(1).count():
+            return found
+        gone = found.select(F.col("doc").alias("g_doc"), F.col("line").alias("g_line"))
+        posted = rest.drop("open").join(gone, (F.col("doc") == F.col("g_doc")) & (F.col("line") == F.col("g_line")), "left").withColumn("open", F.col("g_doc").isNull())
+        posted = cut(posted.select(*POSTING))
+        if not posted.where("open").limit(1).count():
+            return found
+        first *= GROWTH
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, bits: int = FILTER_BITS, small: int = SMALL, first: int = FIRST, each: int = EACH) -> DataFrame:
     """The input's rows with ``text_col`` cut to the lines that stay; adds ``n_lines``, ``n_removed``.
 
     Lines end at a line feed and are joined by it again; words are what ASCII white space
@@ -208,16 +365,20 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     Other columns pass, unless they are named n_lines or n_removed, which are replaced.
     """
     counts = word_counts(df, text_col)
-    lines = cut(signatures(df, id_col, text_col, counts, percent))
-    best = lines.groupBy(F.col("c1").alias("k1"), F.col("c2").alias("k2")).agg(F.min(F.struct("doc", "line")).alias("f"))
+    lines = Kept(signatures(df, id_col, text_col, counts, percent))
+    best = lines.df.groupBy(F.col("c1").alias("k1"), F.col("c2").alias("k2")).agg(F.min(F.struct("doc", "line")).alias("f"))
     best = best.select(F.col("f.doc").alias("f_doc"), F.col("f.line").alias("f_line"), "k1", "k2")
     on = (F.col("doc") == F.col("f_doc")) & (F.col("line") == F.col("f_line")) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2"))
-    marked = lines.join(best, on, "left").withColumn("first", F.col("f_doc").isNotNull()).select("doc", "line", "n", "prefix", "first")
-    marked = cut(marked)
-    late = matched_classes(df, marked.where("first").drop("first").dropDuplicates(["doc", "line"]), id_col, text_col, percent, bits)
-    gone = marked.where("not first").select("doc", "line").unionByName(late)
+    marked = Kept(lines.df.join(best, on, "left").select("doc", "line", "n", "parities", "prefix", F.col("f_doc").isNotNull().alias("first")))
+    lines.drop()
+    release(df.sparkSession)
+    late = matched_classes(df, marked.df.where("first").drop("first"), id_col, text_col, percent, bits, small, first, each)
+    gone = marked.df.where("not first").select("doc", "line").unionByName(late)
     per_doc = gone.groupBy("doc").agg(F.collect_set("line").alias("__gone"))
-    return _without(df, cut(per_doc), id_col, text_col, bits)
+    per_doc = cut(per_doc)
+    marked.drop()
+    release(df.sparkSession)
+    return _without(df, per_doc, id_col, text_col, bits)
 
 
 def _without(df: DataFrame, per_doc: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
