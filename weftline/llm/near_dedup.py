@@ -8,10 +8,11 @@ of which registers are larger, equal or smaller drops the hopeless ones; the res
 confirmed on their full shingle sets.
 
 Equal sets are one class from the start, so copies cost nothing. In a band's bucket each
-class is first compared with the smallest one only; after components are known, buckets that
-still hold several of them compare the next classes with the rest, until none is left
-untested. Work per round is linear in a bucket, and no pair of different components goes
-unlooked at.
+class is first compared with the smallest one only, which joins most of what belongs
+together. What buckets still hold in different components is gathered once for each family
+of connected buckets and compared in blocks: a block has a bounded number of shingles, a
+task sees two of them, and pairs within one component are skipped. No pair that shares a
+band goes unlooked at, and no pair becomes a row before it is confirmed.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ BANDS, ROWS = 24, 5
 #: Base, rate and last value of the registers.
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors by which an estimate may fall short before a pair is dropped unconfirmed.
-SLACK = 5.0
-#: Classes of a bucket that are compared with all others in one round.
-HUBS = 8
+SLACK = 4.0
+#: Shingles of a block of classes, and what a class counts at least.
+BLOCK_SHINGLES, LEAST_SHINGLES = 1 << 16, 256
 #: Bits of the filter that tells which texts are needed in full.
 FILTER_BITS = 1 << 24
 
@@ -119,11 +120,15 @@ def full_sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, widt
     return rows.mapInArrow(by_batch(run), "id bigint, set binary")
 
 
+def _floor(percent: int) -> float:
+    """Estimates below it are hopeless."""
+    least = percent / 100
+    return least - SLACK * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose sizes and registers allow the similarity asked for."""
-    m = BANDS * ROWS
-    least = percent / 100
-    floor = least - SLACK * (least * (1 - least) / m) ** 0.5
+    m, floor = BANDS * ROWS, _floor(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,11 +150,7 @@ def _confirmed(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
+            good = [linked(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), percent) for pair in zip(b.column(2), b.column(3), strict=True)]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
@@ -167,10 +168,77 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return buckets.join(ends, F.col("band") == F.col("e_band")).select(*columns)
 
 
-def _next_pairs(ranked: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs of classes ranked in (low, high] with later ones of other components."""
-    hub = ranked.where(f"at > {low} and at <= {high}").select(F.col("band").alias("h_band"), F.col("id").alias("u"), F.col("label").alias("h_label"), F.col("at").alias("h_at"))
-    return ranked.join(hub, F.col("band") == F.col("h_band")).where("at > h_at and label <> h_label").select("u", F.col("id").alias("v")).distinct()
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    x = np.concatenate([p, q])
+    x.sort(kind="stable")  # two sorted runs: a merge
+    both = int(np.count_nonzero(x[1:] == x[:-1]))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def block_links(a: list[dict], b: list[dict] | None, percent: int) -> list[tuple[int, int]]:
+    """Links between classes of two blocks (or within one) that join different components."""
+    m, other = BANDS * ROWS, a if b is None else b
+    ra, rb = (np.frombuffer(b"".join(x["registers"] for x in side), np.uint16).reshape(-1, m) for side in (a, other))
+    na, nb = (np.array([x["n"] for x in side], np.int64) for side in (a, other))
+    la, lb = (np.array([x["label"] for x in side], np.int64) for side in (a, other))
+    found: list[tuple[int, int]] = []
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in top:
+            x = top[x]
+        return x
+
+    rows, cols = [], []
+    for i in range(len(a)):
+        open_ = (lb != la[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
+        if b is None:
+            open_[: i + 1] = False
+        j = np.flatnonzero(open_)
+        j = j[(rb[j] == ra[i]).reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)]
+        rows.append(np.full(len(j), i))
+        cols.append(j)
+    i, j = np.concatenate(rows), np.concatenate(cols)
+    if not len(i):
+        return found
+    likely = joint_estimate(ra[i], rb[j], na[i], nb[j])
+    at = np.argsort(-likely, kind="stable")
+    at = at[likely[at] >= _floor(percent)]
+    for x, y in zip(i[at].tolist(), j[at].tolist(), strict=True):
+        p, q = root(int(la[x])), root(int(lb[y]))
+        if p != q and linked(np.frombuffer(a[x]["set"], np.uint64), np.frombuffer(other[y]["set"], np.uint64), percent):
+            top[max(p, q)] = min(p, q)
+            found.append((a[x]["id"], other[y]["id"]))
+    return found
+
+
+def _family_links(buckets: DataFrame, nodes: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join components within the families of open buckets."""
+    least = buckets.groupBy(F.col("band").alias("h_band")).agg(F.min("id").alias("u"))
+    met = buckets.join(least, F.col("band") == F.col("h_band")).where("u < id").select("u", F.col("id").alias("v"))
+    family = components(met).select(F.col("id").alias("f_id"), F.col("label").alias("family"))
+    members = buckets.select("id", "label").distinct().join(family, F.col("id") == F.col("f_id")).select("id", "label", "family")
+    members = members.join(nodes.select(F.col("id").alias("n_id"), "n", "registers"), F.col("id") == F.col("n_id"))
+    so_far = F.sum(F.greatest("n", F.lit(LEAST_SHINGLES))).over(Window.partitionBy("family").orderBy("id"))
+    placed = members.select("family", "id", "label", "n", "registers", F.floor(so_far / BLOCK_SHINGLES).alias("block"))
+    full = placed.join(stored.select(F.col("id").alias("s_id"), "set"), F.col("id") == F.col("s_id"))
+    blocks = cut(full.groupBy("family", "block").agg(F.collect_list(F.struct("id", "label", "n", "registers", "set")).alias("items")))
+    a = blocks.select("family", F.col("block").alias("a"), F.col("items").alias("a_items"))
+    b = blocks.select(F.col("family").alias("b_family"), F.col("block").alias("b"), F.col("items").alias("b_items"))
+    pairs = a.join(b, (F.col("family") == F.col("b_family")) & (F.col("a") < F.col("b"))).select("a_items", "b_items")
+    alone = a.select("a_items", F.lit(None).cast(b.schema["b_items"].dataType).alias("b_items"))
+    # a large family's pairs of blocks are dealt to all tasks
+    todo = pairs.unionByName(alone).repartition(int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                x, y = (batch.column(k)[at].as_py() for k in (0, 1))
+                got = block_links(x, y, percent)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return todo.mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(
@@ -180,7 +248,6 @@ def near_duplicates(
     *,
     width: int = 5,
     percent: int = 80,
-    hubs: int = HUBS,
     bits: int = FILTER_BITS,
 ) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``.
@@ -205,20 +272,13 @@ def near_duplicates(
 
     least = buckets.groupBy(F.col("band").alias("h_band")).agg(F.min("id").alias("u"))
     pairs = buckets.join(least, F.col("band") == F.col("h_band")).where("u < id").select("u", F.col("id").alias("v")).distinct()
-    edges, done = None, 1
-    while True:
-        found = cut(_confirmed(_likely(pairs, light, percent), stored, percent))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = cut(components(edges))
-        buckets = _open_buckets(buckets, labels)
-        if done == 1:
-            # ranks stay what they are now, so that no class is compared with all others twice
-            buckets = buckets.withColumn("at", F.row_number().over(Window.partitionBy("band").orderBy("id")))
-        buckets = cut(buckets)
-        if not buckets.where(F.col("at") > done).limit(1).count():
-            break
-        pairs = _next_pairs(buckets, done, done + hubs)
-        done += hubs
+    edges = cut(_confirmed(_likely(pairs, light, percent), stored, percent))
+    labels = cut(components(edges))
+    buckets = cut(_open_buckets(buckets, labels))
+    if buckets.limit(1).count():
+        more = cut(_family_links(buckets, light, stored, percent))
+        if more.limit(1).count():
+            labels = cut(components(edges.unionByName(more)))
     return _verdict(sig, reps, labels, id_col)
 
 

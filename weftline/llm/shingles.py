@@ -90,10 +90,10 @@ def _sets(block: list[bytes], width: int) -> Iterator[np.ndarray]:
         if n >= width:
             yield np.unique(joined[at : at + n - width + 1])
         elif n:
-            x = words[at]
+            x = words[at : at + 1]
             for i in range(1, n):
-                x = mixed(np.array([x * STEP[0] + words[at + i] * STEP[1] + np.uint64(i)]))[0]
-            yield np.array([mixed(np.array([x ^ np.uint64(n)]))[0]], np.uint64)
+                x = mixed(x * STEP[0] + words[at + i : at + i + 1] * STEP[1] + np.uint64(i))
+            yield mixed(x ^ np.uint64(n))
         else:
             yield np.zeros(0, np.uint64)
         at += n
