@@ -102,3 +102,16 @@ def test_query_equals_brute_force(spark):
         rows.append((f"{s}/f{i // 1000}/" + (f"LICENSE.{i}" if i % 10 == 0 else f"d{i // 200}/{i}.txt"), t))
     assert rounded({(r.path, r.license, r.score, r.basis, r.from_path) for r in got}) == rounded(brute(rows))
     assert len(got) == len(rows) and len({r.doc_id for r in got}) == len(rows)
+
+
+def test_a_notice_stays_found_among_filler_files(spark):
+    notice = "Copyright 2020 The Authors. Licensed under the Apache License, Version 2.0."
+    some = ["copyright of 2020", "licensed under a version of 2", "authors of the apache", "license 0"]
+    scores = []
+    for n in (50, 5000):
+        rows = [("a/x.c", notice)] + [(f"f{i}/y", some[i % 4]) for i in range(n)]
+        got = {r.path: r for r in license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+        assert got["a/x.c"].license == "Apache-2.0" and got["a/x.c"].basis == "own"
+        scores.append(got["a/x.c"].score)
+    # every term is as common among 5000 files as among 50
+    assert abs(scores[0] - scores[1]) < 0.02

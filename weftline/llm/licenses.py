@@ -1,9 +1,8 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
 A unit is a line of a file, and for licence files also the whole text. Units and templates
-are sparse TF-IDF vectors. Document frequencies of template terms are counted over all
-files; a term that no template has weighs as one that no file has, so foreign words lower
-the cosine. By Cauchy-Schwarz a unit cannot reach the threshold unless it shares one of a
+are sparse TF-IDF vectors. Document frequencies of all terms are counted over all files and
+joined to the terms of the scored units only. By Cauchy-Schwarz a unit cannot reach the threshold unless it shares one of a
 template's heavier terms, its anchors; only such units are scored.
 
 A file without a licence of its own takes that of the nearest directory above it (its own
@@ -45,6 +44,8 @@ THRESHOLD = 0.75
 LICENSE_FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|notice)(\.[a-z0-9]+)?$"
 
 BREAK = "[^a-z0-9]+"
+#: Terms of scored units up to which their weights are broadcast; beyond it the join shuffles.
+FEW_TERMS = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -87,10 +88,11 @@ def _array(values: list[str]) -> Column:
 def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
     """path, license, score of the files (path, text) in which a unit reaches the threshold."""
     vocab = sorted({t for _, text in templates for t in template_terms(text)})
-    met = files.select(F.explode(F.array_intersect(terms(F.col("text")), _array(vocab))).alias("term"))
+    met = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     n = files.count()
+    counts = cut(met.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     # at most one row for each template term
-    seen = {r["term"]: r["n"] for r in met.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {r["term"]: r["n"] for r in counts.where(F.col("term").isin(vocab)).collect()}
     weights = {t: idf(n, seen.get(t, 0)) for t in vocab}
     vectors = template_vectors(templates, weights)
     heavy = anchors(vectors, threshold)
@@ -98,14 +100,14 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], thres
     spark = files.sparkSession
     by_term = [(t, i, x) for i, v in enumerate(vectors) for t, x in v.items()]
     table = F.broadcast(spark.createDataFrame(by_term, "t_term string, template int, t_weight double"))
-    weight = F.broadcast(spark.createDataFrame(list(weights.items()), "w_term string, weight double"))
 
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("unit", "line")).select("path", "unit", terms(F.col("line")).alias("terms"))
     whole = files.where(F.col("path").rlike(LICENSE_FILE)).select("path", F.lit(-1).alias("unit"), terms(F.col("text")).alias("terms"))
     units = lines.unionByName(whole).where(F.arrays_overlap("terms", _array(heavy)))
-    tf = units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(weight, F.col("term") == F.col("w_term"), "left").select("path", "unit", "term", (F.col("tf") * F.coalesce("weight", F.lit(idf(n, 0)))).alias("w"))
-    w = cut(w)
+    tf = cut(units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("tf")))
+    weight = cut(counts.join(tf.select("term").distinct(), "term").select(F.col("term").alias("w_term"), (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("weight")))
+    few = weight.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    w = cut(tf.join(F.broadcast(weight) if few else weight, F.col("term") == F.col("w_term")).select("path", "unit", "term", (F.col("tf") * F.col("weight")).alias("w")))
     norms = w.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size")).select(F.col("path").alias("n_path"), F.col("unit").alias("n_unit"), "size")
     dots = w.join(table, F.col("term") == F.col("t_term")).groupBy("path", "unit", "template").agg(F.sum(F.col("w") * F.col("t_weight")).alias("dot"))
     scored = dots.join(norms, (F.col("path") == F.col("n_path")) & (F.col("unit") == F.col("n_unit")))
