@@ -44,9 +44,23 @@ DIGIT = re.compile(r"[0-9]")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
+# where an account number may start, and the longest run that it may be
+IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})")
+IBAN_RUN = re.compile(r"[A-Z0-9](?: ?[A-Z0-9]){14,33}")
+# characters of an account number by country
+IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 WORD = re.compile(r"[\w-]+")
+WORD_CHAR = re.compile(r"\w")
 
 
 def luhn(digits: str) -> bool:
@@ -77,6 +91,25 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", m.end() if m else at + 1)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length, of unlisted countries the longest that passes.
+
+    They end where a word ends; the search goes on behind a start that fails.
+    """
+    m = IBAN.search(text)
+    while m:
+        run = IBAN_RUN.match(text, m.start())
+        ends = [i + 1 for i in range(m.start(), run.end()) if text[i] != " "]
+        n, end = IBAN_LENGTH.get(text[m.start() : m.start() + 2]), None
+        for k in (n,) if n else range(len(ends), 14, -1):
+            if k <= len(ends) and not WORD_CHAR.match(text, ends[k - 1]) and mod97(text[m.start() : ends[k - 1]].replace(" ", "")):
+                end = ends[k - 1]
+                break
+        if end:
+            yield m.start(), end
+        m = IBAN.search(text, end or m.end())
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]
     words = {w.lower() for w in WORD.findall(near)}
@@ -100,10 +133,7 @@ def _proposed(text: str) -> Iterator[tuple[int, int, str]]:
         for m in PHONE.finditer(text):
             if 10 <= len(DIGIT.findall(m[0])) <= 15:
                 yield m.start(), m.end(), "phone"
-    for m in IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.start(), m.end(), "iban"
+    yield from ((s, e, "iban") for s, e in _ibans(text))
     for m in SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
