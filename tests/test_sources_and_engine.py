@@ -132,3 +132,16 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("words_out").collect()} == {("a", 1), ("b", 3), ("c", 1)}
+
+
+def test_dynamic_map_reaches_any_depth(spark):
+    deep = "x"
+    for i in range(12):
+        deep = {"k": deep} if i % 2 else [deep, 1, "y]\\\"}["]
+    lines = [json.dumps({"a": {"b": [{"c": {"d": "x"}}]}}), json.dumps({"a": [1, deep, None, {}, []], "z": "q"}), "{}"]
+    df = spark.createDataFrame([(x,) for x in lines], "j string").select(F.parse_json("j").alias("rec"))
+    want = json.loads("[" + ",".join(lines).replace('"x"', '"X"').replace('"y]', '"Y]').replace('"q"', '"Q"') + "]")
+    got = records(dynamic.map_records(df, "uppercase"))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    with pytest.raises(Exception, match="nested too deeply"):
+        dynamic.map_records(df, "uppercase", 4).collect()

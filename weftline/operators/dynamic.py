@@ -1,7 +1,8 @@
 """Map, Filter, FlatMap and the keyed operators over one VARIANT column ``rec``.
 
 A VARIANT can be neither grouped nor compared, so keys are extracted as text first. Nested
-leaves are rewritten to a fixed depth (``DEPTH``); deeper ones pass unchanged.
+leaves are rewritten to the depth that the records have, which one pass over them finds. A
+stream cannot be read beforehand: there it is ``DEPTH``, and a deeper record is an error.
 """
 
 from __future__ import annotations
@@ -43,17 +44,45 @@ def _leaf(v: Column, fn: str) -> Column:
     return F.when((_kind(v) == "STRING") | _is_number(v), made).otherwise(v)
 
 
+def _is_array(v: Column) -> Column:
+    return _kind(v).startswith("ARRAY")
+
+
 def _deep(v: Column, fn: str, depth: int) -> Column:
+    """``v`` with its leaves rewritten; the expression grows in proportion to ``depth``."""
+    inner = _is_object(v) | _is_array(v)
     if depth == 0:
-        return _leaf(v, fn)
-    obj = F.to_variant_object(F.transform_values(_fields(v), lambda _, x: _deep(x, fn, depth - 1)))
-    arr = F.to_variant_object(F.transform(F.when(_kind(v).startswith("ARRAY"), v.cast("array<variant>")), lambda x: _deep(x, fn, depth - 1)))
-    return F.when(_is_object(v), obj).when(_kind(v).startswith("ARRAY"), arr).otherwise(_leaf(v, fn))
+        return F.when(inner, F.raise_error(F.lit("Map: a record is nested too deeply")).cast("variant")).otherwise(_leaf(v, fn))
+    items = F.transform(F.when(_is_array(v), v.cast("array<variant>")), lambda x: F.struct(F.lit("").alias("key"), x.alias("value")))
+    done = F.transform(F.coalesce(F.map_entries(_fields(v)), items), lambda e: F.struct(e["key"].alias("key"), _deep(e["value"], fn, depth - 1).alias("value")))
+
+    def built(d: Column) -> Column:
+        return F.when(_is_object(v), F.to_variant_object(F.map_from_entries(d))).otherwise(F.to_variant_object(F.transform(d, lambda e: e["value"])))
+
+    # an array of one binds what is done to a name, so that it stands in the expression once
+    return F.when(inner, F.get(F.transform(F.array(done), built), F.lit(0))).otherwise(_leaf(v, fn))
+
 
+def _depth(df: DataFrame) -> int:
+    """Levels of objects and arrays in the deepest record."""
+    text = F.regexp_replace(F.to_json("rec"), r"\\.", "")
+    brackets = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), r"[^\[\]{}]", "")
 
-def map_records(df: DataFrame, script: str, depth: int = DEPTH) -> DataFrame:
+    def step(a: Column, c: Column) -> Column:
+        at = a["at"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(at.alias("at"), F.greatest(a["top"], at).alias("top"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("top"))
+    return df.agg(F.max(F.aggregate(F.split(brackets, ""), start, step, lambda a: a["top"]))).first()[0] or 0
+
+
+def map_records(df: DataFrame, script: str, depth: int | None = None) -> DataFrame:
     fn = parse_map(script)
-    return df if fn == "identity" else df.select(_deep(F.col("rec"), fn, depth).alias("rec"))
+    if fn == "identity":
+        return df
+    if depth is None:
+        depth = DEPTH if df.isStreaming else _depth(df)
+    return df.select(_deep(F.col("rec"), fn, depth).alias("rec"))
 
 
 def _field(name: str) -> Column:
