@@ -37,12 +37,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one of a source may be cut short."""
-    draws = mixing.mix(docs).select(F.col("doc_id").alias("m_id"), "size", F.inline("draws")).select("m_id", "size", "words")
-    out = docs.join(draws, F.col("doc_id") == F.col("m_id"))
-    cut = F.array_join(F.slice(F.split(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " +"), F.lit(1), F.col("words").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+    """Each document, always whole, as often as the mix takes it."""
+    draws = mixing.mix(docs, whole=True).select(F.col("doc_id").alias("m_id"), F.inline("draws")).select("m_id")
+    return docs.join(draws, F.col("doc_id") == F.col("m_id")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

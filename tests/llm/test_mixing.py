@@ -71,3 +71,25 @@ def test_empty_blank_null_and_clashing_names(spark):
     assert sum(r.taken for r in got) == 5
     blank = mix(spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id bigint, text string, source string")).collect()
     assert {(r.target, r.taken) for r in blank} == {(0.0, 0)}
+
+
+def test_pipeline_mixes_whole_documents(spark):
+    from corpus_pipeline import mix_sources
+
+    # three sources of one document: targets of half, once and one and a half times its size
+    texts = {i: f"one {i}\ttwo  three\nfour five six" for i in range(3)}
+    rows = [(i, t, "en", "abc"[i], len(t)) for i, t in texts.items()]
+    got = mix_sources(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "").collect()
+    assert {r.doc_id for r in got} == {0, 1, 2} and all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in got)
+
+    rng = random.Random(5)
+    rows = [(i, "x " * rng.choice([1, 7, 60, 900]), rng.choice("aaabbcd")) for i in range(150)] + [(150, "y " * 5000, "e"), (151, "z", "f")]
+    out = mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights=(1.0, 2.0, 3.0, 1.0, 0.001), block_words=500, whole=True).collect()
+    taken, largest, goal = defaultdict(int), defaultdict(int), {}
+    for r in out:
+        assert all(d.words == r.size for d in r.draws) and len(r.draws) <= 3
+        taken[r.source] += r.taken
+        largest[r.source], goal[r.source] = max(largest[r.source], r.size), r.target
+    assert all(abs(taken[s] - goal[s]) <= largest[s] / 2 + 1 or taken[s] == largest[s] for s in "abcdf")
+    # its target is a few words, and it has one document
+    assert 0 < goal["e"] < 100 and taken["e"] == 5000

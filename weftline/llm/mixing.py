@@ -107,13 +107,16 @@ def mix(
     shards: int = SHARDS,
     block_words: int = BLOCK_WORDS,
     seed: int = SEED,
+    whole: bool = False,
 ) -> DataFrame:
     """One row per input row: id, source, ``size``, ``source_size``, ``target``, ``taken``, ``draws``.
 
     ``draws`` is an array of (shard, place, words), one for each time that the document is
     taken; ``place`` orders a shard. ``taken`` sums its words. At most one document of a
     source is taken in part, its first words, so that the source's sum is its target to the
-    word. A null source is a source of its own; documents without words have no draws; rows
+    word. With ``whole`` no document is taken in part: a source ends at the boundary of a
+    document that is nearest its target, the later of two, but a source with a target has one
+    document at least. A null source is a source of its own; documents without words have no draws; rows
     that repeat an id are dealt together but counted each. An empty table gives an empty
     result; other columns are ignored. The same rows give the same mix in any order.
     """
@@ -124,7 +127,10 @@ def mix(
     passes = F.least(F.floor(F.round("target") / F.greatest("source_size", F.lit(1))), F.lit(most)).cast("bigint")
     blocks = F.least(F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(1)), F.lit(MOST_BLOCKS)).cast("bigint")
     goal = goal.select("*", passes.alias("passes"), blocks.alias("n_blocks"))
-    goal = cut(goal.withColumn("rest", (F.round("target") - F.col("passes") * F.col("source_size")).cast("bigint")))
+    rest = (F.round("target") - F.col("passes") * F.col("source_size")).cast("bigint")
+    if whole:
+        rest = F.when((F.col("passes") == 0) & (F.col("target") > 0), F.greatest(rest, F.lit(1))).otherwise(rest)
+    goal = cut(goal.withColumn("rest", rest))
 
     dealt = docs.alias("d").join(F.broadcast(goal) if _few(goal) else goal, F.col("d.source").eqNullSafe(goal["source"])).drop(goal["source"])
     dealt = dealt.withColumn("block", F.pmod(key, F.col("n_blocks")))
@@ -152,7 +158,11 @@ def mix(
     rows = dealt.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")))
     within = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), F.col("id")), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     lead = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0))
-    part = F.when(F.col("extra") == 2, F.col("size")).when(F.col("extra") == 1, F.least(F.greatest(lead, F.lit(0)), F.col("size"))).otherwise(F.lit(0))
+    some = F.least(F.greatest(lead, F.lit(0)), F.col("size"))
+    if whole:
+        first_of_all = (F.col("passes") == 0) & (lead == F.col("rest"))
+        some = F.when((lead > 0) & ((2 * lead >= F.col("size")) | first_of_all), F.col("size")).otherwise(F.lit(0))
+    part = F.when(F.col("extra") == 2, F.col("size")).when(F.col("extra") == 1, some).otherwise(F.lit(0))
     rows = rows.withColumn("part", part.cast("bigint"))
 
     def draw(turn: Column, n: Column) -> Column:
