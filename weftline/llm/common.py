@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if configured is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="weftline-"))
     return configured or sc.getCheckpointDir()
 
@@ -89,12 +91,25 @@ def mark(df: DataFrame, position: Column, bitmaps: DataFrame, flag: str) -> Data
 
     The filter is broadcast: its size is bounded by the number of bits it was made with.
     """
-    at = "__position"
+    at, no, bits = fresh(df, "position", "bm_no", "bm")
     out = df.withColumn(at, position)
-    out = out.join(F.broadcast(bitmaps), F.bitmap_bucket_number(at) == F.col("bm_no"), "left")
+    out = out.join(F.broadcast(bitmaps.toDF(no, bits)), F.bitmap_bucket_number(at) == F.col(no), "left")
     bit = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring(F.col("bm"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return out.withColumn(flag, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop(at, "bm_no", "bm")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return out.withColumn(flag, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop(at, no, bits)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to add that clash with none that ``df`` has."""
+    taken, tail = {c.lower() for c in df.columns}, "__"
+    while any(f"__{n}{tail}".lower() in taken for n in names):
+        tail += "_"
+    return [f"__{n}{tail}" for n in names]
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -118,9 +133,10 @@ def drop_ids(df: DataFrame, id_col: str, ids: DataFrame, bits: int = 1 << 24) ->
 
     Rows that a filter of fixed size shows to be safe are not shuffled.
     """
-    gone = ids.toDF("__gone").distinct()
-    filt = bitmap(gone.select(slot(bits, F.col("__gone")).alias("at")), "at")
-    rows = mark(df, slot(bits, F.col(id_col)), filt, "__maybe")
-    safe = rows.where("not __maybe").drop("__maybe")
-    rest = rows.where("__maybe").drop("__maybe").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name, maybe = fresh(df, "gone", "maybe")
+    gone = ids.toDF(name).distinct()
+    filt = bitmap(gone.select(slot(bits, F.col(name)).alias("at")), "at")
+    rows = mark(df, slot(bits, F.col(quoted(id_col))), filt, maybe)
+    safe = rows.where(~F.col(maybe)).drop(maybe)
+    rest = rows.where(F.col(maybe)).drop(maybe).join(gone, F.col(quoted(id_col)) == F.col(name), "left_anti")
     return safe.unionByName(rest)

@@ -1,12 +1,13 @@
 """Word shingles of whole texts as sorted arrays of 64-bit hashes, many texts at a time.
 
-Words are runs of anything but ASCII white space, with A-Z in lower case. A word's hash is a
-polynomial over its bytes, read off one running sum over a block of texts; a shingle's hash
-mixes those of its words in order. Hashes stand for shingles everywhere else.
+Words are runs of anything but ASCII white space, with A-Z in lower case. A word's hash
+scrambles its bytes eight at a time; a shingle's hash scrambles those of its words in order.
+Hashes stand for shingles everywhere else.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,6 @@ import numpy as np
 #: Bytes of texts that are hashed together; a longer text is a block of its own.
 BLOCK = 1 << 19
 
-BASE = 0x9E6C63D0876A9A47 | 1
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 STEP = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 BLANK = np.zeros(256, bool)
@@ -28,36 +28,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    got = _POWERS.get(base)
-    if got is None or len(got) < n:
-        size = max(n, BLOCK + (1 << 16))
-        got = np.ones(size, np.uint64)
-        if size > 1:
-            got[1:] = np.uint64(base)
-            got = np.multiply.accumulate(got)
-        if size <= 2 * BLOCK:
-            _POWERS[base] = got
-    return got[:n]
-
-
-INVERSE = pow(BASE, -1, 1 << 64)
+#: What is kept of eight bytes of which the first k count, by k.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: A longer word's hash is a cryptographic one.
+LONG_WORD = 64
 
 
 def word_hashes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some texts, and the number of words of each text."""
+    """Hashes of all words of some texts, and the number of words of each text.
+
+    A word is scrambled eight bytes at a time, from its length on; up to eight bytes, words
+    of one length never share a hash.
+    """
     sizes = np.array([len(b) + 1 for b in block])
-    data = np.frombuffer(b"\n".join(block) + b"\n", np.uint8)
-    blank = BLANK[data]
-    edge = np.flatnonzero(np.diff(blank.astype(np.int8), prepend=np.int8(1)))
+    raw = b"\n".join(block) + b"\n" + bytes(8)
+    data = np.frombuffer(raw, np.uint8)[:-8]
+    edge = np.flatnonzero(np.diff(BLANK[data].view(np.int8), prepend=np.int8(1)))
     start, end = edge[0::2], edge[1::2]
-    run = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(data)))
-    before = np.where(start > 0, run[start - 1], np.uint64(0))
-    h = (run[end - 1] - before) * _powers(INVERSE, len(data))[start]
-    h = mixed(h ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+    n = end - start
+    eight = np.ndarray((len(raw) - 7,), np.dtype("<u8"), raw, strides=(1,))
+    h = mixed((eight[start] & FIRST_BYTES[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * STEP[0]))
+    at, k = np.flatnonzero(n > 8), 8
+    while len(at) and k < LONG_WORD:
+        h[at] = mixed((h[at] * STEP[1]) ^ (eight[start[at] + k] & FIRST_BYTES[np.minimum(n[at] - k, 8)]))
+        k += 8
+        at = at[n[at] > k]
+    for i in at.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
     ends = np.searchsorted(start, np.cumsum(sizes))
     return h, np.diff(ends, prepend=0)
 
