@@ -90,7 +90,7 @@ def test_a_part_that_overflows(spark, monkeypatch):
         of = module.np.repeat(some, size[some])
         a["word"] = w[module._ranges(start[some], size[some])] >> module.np.uint64(32)
         a["place"], a["n"], a["doc"] = module._ranges(module.np.zeros(10, int), size[some]), n[of], of
-        a["parity"] = module._parities(w, n)[of]
+        a["parity"], a["half"] = (x[of] for x in module._parities(w, n))
         all_.append(a)
         got += list(p.add(a))
     got += list(p.end())
@@ -116,3 +116,14 @@ def test_words_that_polynomial_hashes_confuse(spark):
         t += t.translate({97: 98, 98: 97})
     other = t.translate({97: 98, 98: 97})
     assert run(spark, [(1, t), (2, other)]) == {(1, t, 1, 0), (2, other, 1, 0)}
+
+
+def test_long_lines(spark):
+    rng = random.Random(6)
+    vocab, rows = [f"v{i}" for i in range(3000)], []
+    for k in range(12):
+        base = rng.sample(vocab, rng.randint(60, 400))
+        for _ in range(4):
+            line = [w for w in base if rng.random() > 0.08] + [rng.choice(vocab) for _ in range(rng.randint(0, 20))]
+            rows.append((len(rows), " ".join(line)))
+    assert run(spark, rows) == brute(rows)

@@ -9,8 +9,8 @@ own repeats before anything is shuffled. Words are ordered by rarity, counted ov
 corpus in a table of fixed size; any order gives the right result, a good one gives few
 candidates. Two sets that match share a word among the first few of each (prefix filter). At
 any word that they share there, its places bound what they can share in all (positional
-filter), which is never more than their sizes (length filter), and 64 parities of each set
-bound how much they differ. What passes is verified on the words themselves.
+filter), which is never more than their sizes (length filter), and parities of each set, 64
+or for longer ones 128, bound how much they differ. What passes is verified on the words themselves.
 
 What moves between tasks are packed arrays, one row for many lines or postings. A part of the
 words meets in one task. The classes of a word are compared pair by pair, but only the
@@ -39,7 +39,9 @@ COUNTERS = 1 << 20
 #: Bits of the filters that tell which texts and lines are needed, and which classes are open.
 FILTER_BITS = 1 << 24
 #: Parts for each shuffle partition: a task holds one part at a time.
-PARTS = 8
+PARTS = 2
+#: Sets of so many words have 128 parities; of fewer, 64 tell sets apart.
+WIDE = 80
 #: Classes of a word that are compared at once; more are kept in blocks of so many.
 SMALL = 1024
 #: Candidates of a class that leave the task for each of its words, and classes of a larger
@@ -51,8 +53,8 @@ GATHER, HOLD = 1 << 18, 1 << 20
 PAIRS = 1 << 20
 
 AT = np.dtype([("doc", "<i8"), ("line", "<i4")])
-LINE = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("parity", "<u8")])
-POST = np.dtype([("word", "<u4"), ("n", "<i4"), ("place", "<i4"), ("line", "<i4"), ("doc", "<i8"), ("parity", "<u8")])
+LINE = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("parity", "<u8"), ("half", "<u8")])
+POST = np.dtype([("word", "<u4"), ("n", "<i4"), ("place", "<i4"), ("line", "<i4"), ("doc", "<i8"), ("parity", "<u8"), ("half", "<u8")])
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -149,13 +151,26 @@ def _class_keys(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _sums(mixed(words), n), _sums(mixed(words ^ np.uint64(0x5851F42D4C957F2D)), n)
 
 
-def _parities(words: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each line 64 parities: how many of its words fall on a bit, odd or even."""
-    out = np.zeros(len(n), np.uint64)
+def _parities(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line 64 parities: how many of its words fall on a bit, odd or even.
+
+    And, for longer lines, the same of the half of all words; both together are 128 parities.
+    """
+    out = np.zeros((2, len(n)), np.uint64)
     some = n > 0
     if some.any():
-        out[some] = np.bitwise_xor.reduceat(np.uint64(1) << (words & np.uint64(63)), (np.cumsum(n) - n)[some])
-    return out
+        bit, start = np.uint64(1) << (words & np.uint64(63)), (np.cumsum(n) - n)[some]
+        out[0][some] = np.bitwise_xor.reduceat(bit, start)
+        out[1][some] = np.bitwise_xor.reduceat(np.where(words & np.uint64(64), bit, np.uint64(0)), start)
+        out[1][n < WIDE] = 0
+    return out[0], out[1]
+
+
+def _apart(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many parities lines differ, which is never more than the words that they do not share."""
+    whole, half = a["parity"][i] ^ b["parity"][j], a["half"][i] ^ b["half"][j]
+    half[(a["n"][i] < WIDE) | (b["n"][j] < WIDE)] = 0
+    return (np.bitwise_count(whole ^ half) + np.bitwise_count(half)).astype(np.int32)
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -245,7 +260,7 @@ def _classes(rows: DataFrame, counts: np.ndarray, percent: int, parts: int) -> D
                     continue
                 lines = np.empty(int(some.sum()), LINE)
                 c1, c2 = _class_keys(words, n)
-                for name, got in (("c1", c1), ("c2", c2), ("doc", ids[of]), ("line", no), ("n", n), ("parity", _parities(words, n))):
+                for name, got in (("c1", c1), ("c2", c2), ("doc", ids[of]), ("line", no), ("n", n), *zip(("parity", "half"), _parities(words, n), strict=True)):
                     lines[name] = got[some]
                 start = np.cumsum(n) - n
                 held.add(lines, (words[_ranges(start, prefix_size(n, percent))] >> np.uint64(32)).astype("<u4"))
@@ -283,7 +298,7 @@ def _postings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
             p = np.empty(len(words), POST)
             of = np.repeat(np.arange(len(lines)), n)
             p["word"], p["place"] = words, _ranges(np.zeros(len(n), np.int64), n)
-            for name in ("n", "line", "doc", "parity"):
+            for name in ("n", "line", "doc", "parity", "half"):
                 p[name] = lines[name][of]
             posts.append(p)
             n_posts += len(p)
@@ -325,8 +340,7 @@ def _pass(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, percent: i
     n = (a["n"][i] + b["n"][j]).astype(np.int64)
     good = (100 + percent) * np.minimum(a["n"][i] - a["place"][i], b["n"][j] - b["place"][j]).astype(np.int64) >= percent * n
     at = np.flatnonzero(good)
-    apart = np.bitwise_count(a["parity"][i[at]] ^ b["parity"][j[at]]).astype(np.int64)
-    good[at] = (100 + percent) * apart <= (100 - percent) * n[at]
+    good[at] = (100 + percent) * _apart(a, i[at], b, j[at]).astype(np.int64) <= (100 - percent) * n[at]
     return good
 
 
@@ -365,8 +379,7 @@ def _out(kind: int, **cols) -> pa.RecordBatch:
 
 
 def _pair_rows(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    apart = np.bitwise_count(a["parity"][i] ^ b["parity"][j]).astype(np.int32)
-    return _out(PAIR, a_doc=a["doc"][i], a_line=a["line"][i], doc=b["doc"][j], line=b["line"][j], apart=apart)
+    return _out(PAIR, a_doc=a["doc"][i], a_line=a["line"][i], doc=b["doc"][j], line=b["line"][j], apart=_apart(a, i, b, j))
 
 
 def _best(i: np.ndarray, j: np.ndarray, apart: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -431,7 +444,7 @@ class _Part:
                     ok = _earlier(both, x, y)
                     x, y = x[ok], y[ok]
                     if len(x):
-                        some, _ = _best(x, y, np.bitwise_count(both["parity"][x] ^ both["parity"][y]), self.each)
+                        some, _ = _best(x, y, _apart(both, x, both, y), self.each)
                         if len(some):
                             yield _pair_rows(both, x[some], both, y[some])
                 yield _out(OPEN, doc=block["doc"], line=block["line"])
@@ -450,7 +463,7 @@ class _Part:
             i, j = (np.concatenate(x) for x in zip(*got, strict=True))
             if not len(i):
                 continue
-            best, more = _best(i, j, np.bitwise_count(some["parity"][i] ^ some["parity"][j]), self.each)
+            best, more = _best(i, j, _apart(some, i, some, j), self.each)
             if len(best):
                 yield _pair_rows(some, i[best], some, j[best])
             if len(more):
