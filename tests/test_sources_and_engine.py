@@ -1,15 +1,24 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline import Engine, JobStatus, cli
-from weftline.operators import dynamic
+from weftline.config import Config
+from weftline.engine import ErrorKind, error_kind
+from weftline.joblog import JobLog
+from weftline.operators import dynamic, record_wise
 from weftline.plans.catalogue import chain
+from weftline.plans.spec import DagError
 from weftline.sources.readers import read
 from weftline.streaming import incremental
 
 
+def pushed(df):
+    return re.findall(r"PushedFilters: (\[.*?\])", df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+
+
 def put(tmp_path, name, text):
     (tmp_path / name).write_text(text)
     return str(tmp_path / name)
@@ -85,7 +94,11 @@ def test_dynamic_operators(spark):
     by = dynamic.reduce_by_key(recs(spark, {"k": "a", "v": 1}, {"k": "a", "v": 2}, {"k": "b", "v": 3}), "k", "sum:v")
     assert sorted(map(tuple, by.collect())) == [("a", 3.0), ("b", 3.0)]
     with pytest.raises(Exception, match="missing key"):
-        dynamic.reduce_by_key(recs(spark, {"v": 1}), "k", "sum:v").collect()
+        dynamic.reduce_by_key(recs(spark, {"v": 1}), "k", "sum:v", strict=True).collect()
+    by = dynamic.reduce_by_key(recs(spark, {"k": 1, "v": 1}, {"k": "1", "v": 2}, {"v": 3}), "k", "sum:v")
+    assert {tuple(r) for r in by.collect()} == {("1", 3.0), (None, 3.0)}
+    spread = dynamic.shuffle_by_key(recs(spark, *[{"k": i % 50} for i in range(200)]), "k", 8)
+    assert spread.select(F.spark_partition_id().alias("p")).distinct().count() > 4
 
 
 def test_dynamic_join(spark):
@@ -101,7 +114,10 @@ def test_job_life(spark, tmp_path):
     job = Engine(spark).submit(chain(D, "nation", {"Filter": {"predicate": "gt:n_regionkey=2"}}), str(tmp_path / "out"))
     s = job.status()
     assert (s["status"], s["progress"], s["error"], s["outputs"]) == ("Succeeded", 100.0, None, [str(tmp_path / "out")])
-    assert s["metrics"] == {"n0": 25, "n1": 10} and spark.read.json(job.results()[0]).count() == 10
+    assert s["metrics"] == {"n1": 10} and spark.read.json(job.results()[0]).count() == 10
+    assert s["tasks"]["completed_tasks"] >= 1 and s["tasks"]["failed_tasks"] == 0 and s["seconds"] > 0
+    every = Engine(spark).submit(chain(D, "nation", {"Filter": {"predicate": "gt:n_regionkey=2"}}), node_metrics=True)
+    assert every.metrics() == {"n0": 25, "n1": 10}
 
 
 def test_failed_and_background_jobs(spark):
@@ -145,3 +161,68 @@ def test_dynamic_map_reaches_any_depth(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
     with pytest.raises(Exception, match="nested too deeply"):
         dynamic.map_records(df, "uppercase", 4).collect()
+
+
+def test_submitted_jobs_push_filters_down_as_compiled_ones_do(spark):
+    graph = chain(D, "lineitem", {"Filter": {"predicate": "gt:l_quantity=45"}})
+    want = pushed(Engine(spark).compile(graph))
+    assert "GreaterThan(l_quantity,45.0)" in want[0] and pushed(Engine(spark).submit(graph).to_df()) == want
+
+
+def test_csv_folder_of_small_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(24):
+        (folder / f"f{i:02}.csv").write_text(f"a,b\n{i},x\n")
+    df = read(spark, str(folder), "csv")
+    assert df.dtypes == [("a", "bigint"), ("b", "string")] and sorted(r.a for r in df.collect()) == list(range(24))
+    assert len(records(read(spark, str(folder), "csv", "dynamic"))) == 24
+
+
+def test_tabs_are_white_space(spark, tmp_path):
+    df = read(spark, put(tmp_path, "t.csv", "a,b\n\t1 ,\xa0x\n\t\t\n2,y\n"), "csv")
+    assert [tuple(r) for r in df.collect()] == [(1, "x"), (2, "y")]
+    assert records(read(spark, put(tmp_path, "t.json", '\t\n [{"a":1}]'), "json", "dynamic")) == [{"a": 1}]
+    assert len(records(read(spark, put(tmp_path, "t.jsonl", '{"a":1}\n\t\n\t{"a":2}\n'), "jsonl", "dynamic"))) == 2
+
+
+def test_csv_keeps_quotes_and_odd_characters(spark, tmp_path):
+    df = read(spark, put(tmp_path, "t.csv", 'a,b\n"x,y"\n\\"q,#z\n#c,\x01\n'), "csv")
+    assert [tuple(r) for r in df.collect()] == [('"x', 'y"'), ('\\"q', "#z"), ("#c", "\x01")]
+
+
+def test_job_log_outlives_the_engine(spark, tmp_path, capsys):
+    folder = str(tmp_path / "log")
+    job = Engine(spark, config=Config(job_log=folder)).submit(chain(D, "region", "Identity"), str(tmp_path / "o"))
+    for command, want in (("status", "Succeeded"), ("progress", 100.0), ("metrics", {"n1": 5}), ("results", [str(tmp_path / "o")])):
+        assert cli.main([command, job.job_id, "--log", folder]) == 0
+        got = json.loads(capsys.readouterr().out)
+        assert {"status": lambda: got["status"], "metrics": lambda: got["rows"]}.get(command, lambda: got)() == want
+    assert cli.main(["status", "none", "--log", folder]) == 1 and cli.main(["status", "none"]) == 2
+    state = JobLog(folder).get(job.job_id)
+    JobLog(folder).put(job.job_id, state | {"status": "Running"})
+    (again,) = Engine(spark, config=Config(job_log=folder)).recover()
+    assert again.state == JobStatus.SUCCEEDED and "run again" in JobLog(folder).get(job.job_id)["error"]
+
+
+def test_error_kinds_and_config(spark, tmp_path):
+    with pytest.raises(DagError) as e:
+        Engine(spark).submit({"nodes": []})
+    assert error_kind(e.value) == ErrorKind.INVALID_GRAPH
+    bad = Engine(spark, strict=True).submit(chain(D, "nation", "Identity", {"ReduceByKey": {"key": "n_nationkey", "op": "count"}}))
+    assert bad.status()["error_kind"] == "Data"
+    with pytest.raises(Exception) as e:
+        Engine(spark).compile(chain("/nowhere", "nation", "Identity"))
+    assert error_kind(e.value) == ErrorKind.NOT_FOUND
+    assert Config.load(put(tmp_path, "c.json", '{"strict": true}'), {"WEFTLINE_MODE": "dynamic"}) == Config("dynamic", True)
+    with pytest.raises(ValueError, match="unknown"):
+        Config.load(None, {"WEFTLINE_MODE": "other"})
+    with pytest.raises(ValueError, match="unknown settings"):
+        Config.load(put(tmp_path, "d.json", '{"x": 1}'), {})
+
+
+def test_words_break_at_any_white_space(spark):
+    t = "".join(c + "w" for c in map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 44]))
+    df = spark.createDataFrame([(t,), (" ,",), (None,), ("a\u200bb",)], "t string")
+    got = [r[0] for r in record_wise.flat_map(df, "split:t").collect()]
+    assert got == ["w"] * 26 + [" ,", None, "a\u200bb"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 import uuid
@@ -9,12 +10,18 @@ from dataclasses import dataclass, field
 from enum import Enum
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 
+from weftline.config import Config
+from weftline.functions.dsl import NotationError
+from weftline.joblog import JobLog
 from weftline.plans.compiler import compile_dag, result
-from weftline.plans.spec import DagSpec, parse_dag
+from weftline.plans.spec import DagError, DagSpec, parse_dag
 from weftline.sources import writers
 
+log = logging.getLogger("weftline")
+
 
 class JobStatus(str, Enum):
     ACCEPTED = "Accepted"
@@ -25,6 +32,20 @@ class JobStatus(str, Enum):
     FAILED = "Failed"
 
 
+class ErrorKind(str, Enum):
+    INVALID_GRAPH = "InvalidGraph"
+    NOT_FOUND = "NotFound"
+    DATA = "Data"
+
+
+def error_kind(e: Exception) -> ErrorKind:
+    """Whether the graph is wrong, something it names is missing, or the run itself failed."""
+    if isinstance(e, (DagError, NotationError)):
+        return ErrorKind.INVALID_GRAPH
+    missing = isinstance(e, AnalysisException) and (e.getCondition() or "") in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+    return ErrorKind.NOT_FOUND if missing or isinstance(e, (FileNotFoundError, KeyError)) else ErrorKind.DATA
+
+
 @dataclass
 class Job:
     """One submitted graph. The graph is compiled at once; it runs when started."""
@@ -37,18 +58,27 @@ class Job:
     job_id: str = field(default_factory=lambda: str(uuid.uuid4()))
     state: JobStatus = JobStatus.ACCEPTED
     error: str | None = None
+    kind: ErrorKind | None = None
     outputs: list[str] = field(default_factory=list)
     started: float | None = None
     ended: float | None = None
+    joblog: JobLog | None = None
     _thread: threading.Thread | None = None
 
     def to_df(self) -> DataFrame:
         """The lazy result."""
         return result(self.dag, self.frames)
 
+    def _now(self, state: JobStatus) -> None:
+        self.state = state
+        log.info("job %s: %s", self.job_id, state.value)
+        if self.joblog:
+            self.joblog.put(self.job_id, self.status() | {"document": self.dag.to_dict(), "output": self.output})
+
     def run(self) -> Job:
-        """Write the result (and what Write nodes name), or count it if there is no output."""
-        self.state, self.started = JobStatus.RUNNING, time.time()
+        """Write the result (and what Write nodes name), or run it for nothing if there is no output."""
+        self.started = time.time()
+        self._now(JobStatus.RUNNING)
         sc = self.spark.sparkContext
         sc.setJobGroup(self.job_id, f"graph {self.job_id}")
         try:
@@ -59,15 +89,15 @@ class Job:
                 self.outputs.append(writers.write(self.to_df(), self.output))
             elif not self.outputs:
                 self.to_df().write.format("noop").mode("overwrite").save()
-            self.state = JobStatus.SUCCEEDED
-        except Exception as e:  # the job reports it; callers see it in status()
-            self.state, self.error = JobStatus.FAILED, str(e)
-        finally:
             self.ended = time.time()
+            self._now(JobStatus.SUCCEEDED)
+        except Exception as e:  # the job reports it; callers see it in status()
+            self.ended, self.error, self.kind = time.time(), str(e), error_kind(e)
+            self._now(JobStatus.FAILED)
         return self
 
     def start(self) -> Job:
-        self.state = JobStatus.PENDING
+        self._now(JobStatus.PENDING)
         self._thread = threading.Thread(target=self.run, daemon=True)
         self._thread.start()
         return self
@@ -90,8 +120,19 @@ class Job:
                     done, total = done + s.numCompletedTasks, total + s.numTasks
         return 100.0 * done / total if total else 0.0
 
+    def task_metrics(self) -> dict[str, int]:
+        """Stages and tasks of the job so far, as far as Spark still knows them."""
+        tracker, out = self.spark.sparkContext.statusTracker(), {"stages": 0, "tasks": 0, "completed_tasks": 0, "failed_tasks": 0}
+        for job in tracker.getJobIdsForGroup(self.job_id):
+            info = tracker.getJobInfo(job)
+            for stage in info.stageIds if info else ():
+                if s := tracker.getStageInfo(stage):
+                    for key, n in (("stages", 1), ("tasks", s.numTasks), ("completed_tasks", s.numCompletedTasks), ("failed_tasks", s.numFailedTasks)):
+                        out[key] += n
+        return out
+
     def metrics(self) -> dict[str, int]:
-        """Rows that each node gave, once the job has succeeded."""
+        """Rows of each observed node, once the job has succeeded."""
         if self.state != JobStatus.SUCCEEDED:
             return {}
         return {k: o.get["rows"] for k, o in self.observations.items() if self._ran(k)}
@@ -110,7 +151,18 @@ class Job:
         return node_id in seen
 
     def status(self) -> dict[str, Any]:
-        return {"job_id": self.job_id, "status": self.state.value, "progress": self.progress(), "metrics": self.metrics(), "error": self.error, "outputs": list(self.outputs)}
+        took = (self.ended or time.time()) - self.started if self.started else None
+        return {
+            "job_id": self.job_id,
+            "status": self.state.value,
+            "progress": self.progress(),
+            "metrics": self.metrics(),
+            "tasks": self.task_metrics(),
+            "seconds": took,
+            "error": self.error,
+            "error_kind": self.kind.value if self.kind else None,
+            "outputs": list(self.outputs),
+        }
 
     def results(self) -> list[str]:
         return list(self.outputs)
@@ -119,8 +171,14 @@ class Job:
 class Engine:
     """Compiles and runs graphs on one Spark session."""
 
-    def __init__(self, spark: SparkSession, *, mode: str = "typed", strict: bool = False):
-        self.spark, self.mode, self.strict = spark, mode, strict
+    def __init__(self, spark: SparkSession, *, mode: str | None = None, strict: bool | None = None, config: Config | None = None):
+        config = config or Config()
+        self.spark = spark
+        self.mode = config.mode if mode is None else mode
+        self.strict = config.strict if strict is None else strict
+        self.joblog = JobLog(config.job_log) if config.job_log else None
+        if config.shuffle_partitions:
+            spark.conf.set("spark.sql.shuffle.partitions", str(config.shuffle_partitions))
         self.jobs: dict[str, Job] = {}
 
     def compile(self, document: Any, **options: Any) -> DataFrame:
@@ -128,14 +186,26 @@ class Engine:
         dag = document if isinstance(document, DagSpec) else parse_dag(document)
         return result(dag, compile_dag(self.spark, dag, **{"mode": self.mode, "strict": self.strict} | options))
 
-    def submit(self, document: Any, output: str | None = None, *, background: bool = False, **options: Any) -> Job:
+    def submit(self, document: Any, output: str | None = None, *, background: bool = False, node_metrics: bool = False, **options: Any) -> Job:
+        """Run a graph. Rows are counted at its sinks; ``node_metrics`` counts them at every
+        node, at the price of filters that no longer reach the scan.
+        """
         dag = document if isinstance(document, DagSpec) else parse_dag(document)
         seen: dict[str, Observation] = {}
-        frames = compile_dag(self.spark, dag, observations=seen, **{"mode": self.mode, "strict": self.strict} | options)
-        job = Job(self.spark, dag, frames, seen, output)
+        frames = compile_dag(self.spark, dag, observations=seen, observe_all=node_metrics, **{"mode": self.mode, "strict": self.strict} | options)
+        job = Job(self.spark, dag, frames, seen, output, joblog=self.joblog)
         self.jobs[job.job_id] = job
         return job.start() if background else job.run()
 
+    def recover(self) -> list[Job]:
+        """Run again the logged jobs that a driver left unfinished; they keep no old output."""
+        left = [x for x in (self.joblog.all() if self.joblog else []) if x["status"] not in (JobStatus.SUCCEEDED.value, JobStatus.FAILED.value) and x["job_id"] not in self.jobs]
+        done = []
+        for x in left:
+            done.append(self.submit(x["document"], x["output"]))
+            self.joblog.put(x["job_id"], x | {"status": JobStatus.FAILED.value, "error": f"left unfinished, run again as {done[-1].job_id}"})
+        return done
+
     def job(self, job_id: str) -> Job:
         if job_id not in self.jobs:
             raise KeyError(f"no job {job_id}")

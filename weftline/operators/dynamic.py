@@ -132,6 +132,7 @@ def _aggregate(reducer: str) -> Column:
     if r.kind == "count":
         return F.count(F.lit(1)).alias(r.output)
     if r.kind == "collect":
+        # all records of a group in one row, as collect asks; count or sum have no such bound
         return F.collect_list("rec").alias(r.output)
     v = F.col("rec") if r.field is None else F.try_element_at(_fields(F.col("rec")), F.lit(r.field))
     n = F.when(_is_number(v), F.try_variant_get(v, "$", "double"))
@@ -143,15 +144,30 @@ def reduce_records(df: DataFrame, reducer: str) -> DataFrame:
     return df.agg(_aggregate(reducer))
 
 
-def reduce_by_key(df: DataFrame, key: str, reducer: str) -> DataFrame:
-    """Keys must be text, as in the strict form of the typed operator."""
+def _key_text(key: str) -> tuple[Column, Column]:
+    """A field, and its text if it is a string, a number or a boolean, else null."""
     v = F.try_element_at(_fields(F.col("rec")), F.lit(key))
-    k = F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.raise_error(F.lit(f"missing key field '{key}'")).cast("string"))
+    return v, F.when((_kind(v) == "STRING") | (_kind(v) == "BOOLEAN") | _is_number(v), F.try_variant_get(v, "$", "string"))
+
+
+def reduce_by_key(df: DataFrame, key: str, reducer: str, strict: bool = False) -> DataFrame:
+    """The key, as text, and the aggregate; records without such a key are one group of null.
+
+    ``strict`` makes a key that is absent or no string an error of the job.
+    """
+    v, k = _key_text(key)
+    if strict:
+        k = F.when(_kind(v) == "STRING", k).otherwise(F.raise_error(F.lit(f"missing key field '{key}'")).cast("string"))
     out = df.groupBy(k.alias("__key")).agg(_aggregate(reducer))
     name = parse_reducer(reducer).output
     return out.drop("__key") if name == key else out.withColumnRenamed("__key", key)
 
 
+def shuffle_by_key(df: DataFrame, key: str, total_partitions: int) -> DataFrame:
+    """The same records, those of one key in one partition; those without one are together."""
+    return df.repartition(max(int(total_partitions), 1), _key_text(key)[1])
+
+
 def join_records(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     """Join on the text of a scalar key; unmatched rows carry the other side's marker."""
 

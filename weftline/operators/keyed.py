@@ -16,7 +16,10 @@ SLICE = "_pid"
 
 
 def reducer_column(df: DataFrame, r: Reducer) -> Column:
-    """The aggregate of a reducer: 0.0, not null, where no number was met."""
+    """The aggregate of a reducer: 0.0, not null, where no number was met.
+
+    ``collect`` gathers a whole group in one row of one task, which is what it is for.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     if r.kind == "count":
         return F.count(F.lit(1)).alias(r.output)

@@ -17,6 +17,8 @@ NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 #: Unicode white space and commas separate words.
 WORD_BREAK = r"(?U)[\s,]+"
+# The same characters one by one.
+BREAKS = ", \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 NUMERIC = (*INTEGRAL, T.FloatType, T.DoubleType, T.DecimalType)
@@ -107,7 +109,8 @@ def filter_records(df: DataFrame, predicate: str, coerce: bool = False) -> DataF
 
 def _split(df: DataFrame, f: FlatFunction) -> DataFrame:
     c = col(f.field)
-    words = F.filter(F.split(c, WORD_BREAK), lambda t: t != "")
+    # plain replacements and a cut at one blank stay in generated code, other than a pattern
+    words = F.array_remove(F.split(F.translate(c, BREAKS, " " * len(BREAKS)), " "), "")
     words = F.when(F.size(words) > 0, words).otherwise(F.array(c))
     return df.select(*[F.explode(words).alias(n) if n == f.field else col(n) for n in df.columns])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.compiler import compile_dag, result
 from weftline.plans.spec import parse_dag
+from weftline.sources.writers import scratch, write
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,12 +133,13 @@ _joined("join_left", "SELECT d.doc_id AS left_doc_id, d.lang AS left_lang, l.doc
 _joined("join_right", "SELECT l.doc_id AS left_doc_id, l.quality AS left_quality, d.doc_id AS right_doc_id, d.lang AS right_lang FROM labels l RIGHT JOIN documents d ON d.doc_id = l.doc_id", _L, _D, "Right", ("left_doc_id", "left_quality", "right_doc_id", "right_lang"), key="doc_id")
 _joined(
     "join_full",
-    "SELECT d.doc_id AS left_doc_id, d.lang AS left_lang, l.doc_id AS right_doc_id, l.quality AS right_quality FROM (SELECT * FROM documents WHERE doc_id < 500) d FULL JOIN (SELECT * FROM labels WHERE doc_id > 300) l ON d.doc_id = l.doc_id",
-    ("documents", Filter("lt:doc_id=500")),
-    ("labels", Filter("gt:doc_id=300")),
+    "SELECT s.s_suppkey AS left_s_suppkey, s.s_name AS left_s_name, p.p_partkey AS right_p_partkey, p.p_size AS right_p_size FROM supplier s FULL JOIN part p ON s.s_suppkey = p.p_size",
+    ("supplier",),
+    ("part",),
     "Full",
-    ("left_doc_id", "left_lang", "right_doc_id", "right_quality"),
-    key="doc_id",
+    ("left_s_suppkey", "left_s_name", "right_p_partkey", "right_p_size"),
+    left_key="s_suppkey",
+    right_key="p_size",
 )
 _joined("join_duplicates", "SELECT c.c_custkey AS left_c_custkey, s.s_suppkey AS right_s_suppkey FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey", ("customer",), ("supplier",), "Inner", ("left_c_custkey", "right_s_suppkey"), left_key="c_nationkey", right_key="s_nationkey")
 _joined(
@@ -189,3 +191,90 @@ def _props(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("json_props_expand", "SELECT CAST(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS sum_k FROM events", _props)
+
+
+def _from_text(name: str, sql: str, fmt: str, make: Callable[[SparkSession, str], DataFrame], *ops: dict | str, then: Callable[[DataFrame], DataFrame] = lambda df: df, **options) -> None:
+    """A graph over lines of text that are first written to files of a format."""
+
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        folder = scratch(spark)
+        make(spark, d).write.text(folder)
+        doc = chain(d, "region", *ops)
+        doc["nodes"][0]["operator"] = {"Read": {"uri": folder, "format": fmt}}
+        return then(run(spark, doc, **options))
+
+    _add(name, sql, build)
+
+
+def _csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Several files, each with a header, blanks and tabs around cells and lines of a tab."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").repartitionByRange(24, "c_custkey")
+    cells = F.concat_ws(",", F.concat(F.lit("\t"), F.col("c_custkey").cast("string")), F.concat("c_name", F.lit(" ")), F.col("c_nationkey").cast("string"), F.col("c_acctbal").cast("string"))
+    lines = rows.select(F.spark_partition_id().alias("p"), F.col("c_custkey").alias("k"), F.array(cells, F.lit("\t")).alias("l"))
+    head = lines.groupBy("p").agg(F.lit(-1).cast("bigint").alias("k"), F.array(F.lit(" key,name ,nation,balance")).alias("l"))
+    every = lines.unionByName(head).repartition(24, "p").sortWithinPartitions("p", "k")
+    return every.select(F.explode("l").alias("value"))
+
+
+def _json_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/nation.parquet").select(F.to_json(F.struct("n_nationkey", "n_name", F.struct("n_regionkey").alias("at"))).alias("j"))
+    return rows.select(F.explode(F.array(F.concat(F.lit("\t"), "j"), F.lit(" \t"))).alias("value"))
+
+
+def _json_array(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/nation.parquet").agg(F.collect_list(F.to_json(F.struct("n_nationkey", "n_name"))).alias("j"))
+    return rows.select(F.explode(F.array(F.lit("\t"), F.concat(F.lit(" ["), F.array_join("j", ","), F.lit("]")))).alias("value")).coalesce(1)
+
+
+_NATION_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name"
+_from_text("read_csv", "SELECT c_custkey AS key, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS balance FROM customer", "csv", _csv_lines)
+_from_text("read_csv_dynamic", "SELECT CAST(sum(c_custkey) AS DOUBLE) AS sum_key FROM customer", "csv", _csv_lines, Reduce("sum:key"), mode="dynamic")
+_from_text("read_jsonl", f"{_NATION_SQL}, CAST(n_regionkey AS BIGINT) AS region FROM nation", "jsonl", _json_lines, then=lambda df: df.select("n_nationkey", "n_name", F.col("at.n_regionkey").alias("region")))
+_from_text("read_ndjson", "SELECT CAST(n_regionkey AS BIGINT)*2 AS region FROM nation", "ndjson", _json_lines, Map("double"), mode="dynamic", then=lambda df: df.select(F.variant_get("rec", "$.at.n_regionkey", "bigint").alias("region")))
+_from_text("read_json", f"{_NATION_SQL} FROM nation", "json", _json_array)
+
+
+def _dynamic(name: str, sql: str, table: str, record: Callable[[], object], *ops: dict | str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """A graph over one VARIANT column that is made of a table's columns."""
+
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        recs = spark.read.parquet(f"{d}/{table}.parquet").select(F.to_variant_object(record()).alias("rec"))
+        return then(run(spark, chain(d, table, *ops), sources={"n0": recs}))
+
+    _add(name, sql, build)
+
+
+def _nested():
+    inner = F.struct(F.array(F.struct(F.lower("n_name").alias("f"))).alias("e"))
+    return F.struct("n_nationkey", F.struct(F.struct(F.struct(inner.alias("d")).alias("c")).alias("b")).alias("a"))
+
+
+_dynamic("map_dynamic_deep", f"{_NATION_SQL} FROM nation", "nation", _nested, Map("uppercase"), then=lambda df: df.select(F.variant_get("rec", "$.n_nationkey", "bigint").alias("n_nationkey"), F.variant_get("rec", "$.a.b.c.d.e[0].f", "string").alias("n_name")))
+_dynamic("reduce_by_key_dynamic", "SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, count(*) AS count FROM orders GROUP BY o_custkey", "orders", lambda: F.struct("o_custkey"), ByKey("o_custkey", "count"))
+
+
+def _one_partition_a_key(df: DataFrame) -> DataFrame:
+    key = F.variant_get("rec", "$.o_custkey", "bigint")
+    return df.groupBy(key.alias("o_custkey")).agg(F.count_distinct(F.spark_partition_id()).alias("n_partitions"), F.count(F.lit(1)).alias("n"))
+
+
+_dynamic("shuffle_by_key_dynamic", "SELECT o_custkey, CAST(1 AS BIGINT) AS n_partitions, count(*) AS n FROM orders GROUP BY o_custkey", "orders", lambda: F.struct("o_custkey"), {"ShuffleByKey": {"key": "o_custkey", "total_partitions": 8}}, then=_one_partition_a_key)
+
+
+def _written(name: str, fmt: str) -> None:
+    """What a Write node leaves, read again."""
+
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        folder = f"{scratch(spark)}/{fmt}"
+        doc = chain(d, "nation", {"Write": {"uri": folder, "format": fmt}})
+        write(run(spark, doc), folder, fmt)
+        again = chain(d, "nation")
+        again["nodes"][0]["operator"] = {"Read": {"uri": folder, "format": fmt}}
+        return run(spark, again).select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name")
+
+    _add(name, f"{_NATION_SQL} FROM nation", build)
+
+
+_written("write_jsonl", "jsonl")
+_written("write_csv", "csv")
+_written("write_parquet", "parquet")

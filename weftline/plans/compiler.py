@@ -42,9 +42,9 @@ def _apply(node: Node, parents: list[DataFrame], strict: bool) -> DataFrame:
         case "Aggregate":
             return red.reduce_records(df, p["aggregation"])
         case "ReduceByKey":
-            return dynamic.reduce_by_key(df, p["key"], p["op"]) if red is dynamic else keyed.reduce_by_key(df, p["key"], p["op"], strict)
+            return red.reduce_by_key(df, p["key"], p["op"], strict)
         case "ShuffleByKey":
-            return keyed.shuffle_by_key(df, p["key"], p["total_partitions"])
+            return red.shuffle_by_key(df, p["key"], p["total_partitions"])
     raise DagError(f"unknown operator '{node.kind}'")
 
 
@@ -58,18 +58,21 @@ def compile_dag(
     mode: str = "typed",
     strict: bool = False,
     observations: dict[str, Observation] | None = None,
+    observe_all: bool = False,
 ) -> dict[str, DataFrame]:
-    """A DataFrame for each node, nothing of which has run yet.
+    """A lazy DataFrame for each node; only finding the schemas of CSV and JSON runs jobs.
 
     ``sources`` replaces Read nodes by id. ``scope="task"`` keeps records of different
     slices apart in joins and aggregates: the slice is ``slice_by(df)`` modulo the graph's
-    partitions. ``observations`` gets a row count for each node once an action has run.
+    partitions. ``observations`` gets a row count for each sink once an action has run, or
+    with ``observe_all`` for each node; then no filter passes a node on its way to the scan.
     """
     if scope not in ("global", "task"):
         raise DagError(f"unknown scope '{scope}'")
     if scope == "task" and slice_by is None:
         raise DagError("scope 'task' needs slice_by, the expression that numbers records")
     made: dict[str, DataFrame] = {}
+    sinks = {*dag.sinks(), *(n.id for n in dag.nodes if n.kind == "Write")}
     for node in dag.ordered():
         if node.kind == "Read":
             df = (sources or {}).get(node.id)
@@ -78,7 +81,7 @@ def compile_dag(
                 df = df.withColumn(keyed.SLICE, F.pmod(slice_by(df), F.lit(dag.partitions)).cast("int"))
         else:
             df = _apply(node, [made[x] for x in dag.parents(node.id)], strict)
-        if observations is not None:
+        if observations is not None and (observe_all or node.id in sinks):
             observations[node.id] = Observation(f"node_{node.id}")
             df = df.observe(observations[node.id], F.count(F.lit(1)).alias("rows"))
         made[node.id] = df

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import contextlib
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = ("jsonl", "json", "csv", "parquet")
@@ -22,3 +27,21 @@ def write(df: DataFrame, uri: str, fmt: str = "jsonl") -> str:
     else:
         out.option("ignoreNullFields", False).json(uri)
     return uri
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; it is deleted when Python ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="weftline-")
+    folder = f"{shared}/scratch-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(drop)
+    return folder
