@@ -116,3 +116,39 @@ def test_components_of_long_paths_and_stars(spark):
     assert set(got) == {*range(100, 161), *range(200, 260), 3, 7}
     assert all(got[i] == (100 if 100 <= i <= 160 else 3) for i in got)
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+@pytest.mark.parametrize("size", [300, 1500])
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, size):
+    from weftline.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", size)
+    rng = random.Random(size)
+    rows = []
+    for k in range(3):
+        base = rng.choices(WORDS, k=150)
+        rows += [" ".join(edited(rng, base, 4 + k)) for _ in range(40)]
+    rows = list(enumerate(rows))
+    assert near(spark, rows, width=3, percent=85) == brute(rows, 3, 85)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    t = "a"
+    while len(t) < 1024:
+        t += t.translate({97: 98, 98: 97})
+    rows = [(1, t), (2, t.translate({97: 98, 98: 97})), (3, t)]
+    assert near(spark, rows, width=3, percent=85) == {(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)}
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(30))
+    got = near(spark, [(1, a), (1, b), (2, a), (3, b), (4, None), (1, None)], width=3, percent=85)
+    verdict = {(i, c) for i, _, c, _ in got}
+    # one of its texts stands for 1, and 2 or 3 goes with it
+    assert {x for x in got if x[0] == 1} == {(1, 38, 1, True), (1, 28, 1, True), (1, 0, 1, True)}
+    assert verdict - {(1, 1), (4, 4)} in ({(2, 1), (3, 3)}, {(2, 2), (3, 1)})
+
+
+def test_very_long_text(spark):
+    t = " ".join(f"w{i % 70_001}" for i in range(300_000))
+    assert near(spark, [(1, t), (2, t + " x"), (3, "w1 w2 w3")], width=3, percent=85) == {(1, 70_001, 1, True), (2, 70_002, 1, False), (3, 1, 3, True)}

@@ -38,6 +38,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when Python ends if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            delete(spark, path)
+
+    atexit.register(drop)
+    return path
+
+
 class Kept:
     """A table written to the shared folder, smaller than a checkpoint of wide rows.
 
@@ -45,20 +63,13 @@ class Kept:
     """
 
     def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+        self.spark = df.sparkSession
+        self.path = own_folder(self.spark, "kept")
         df.write.parquet(self.path)
-        self.df = spark.read.parquet(self.path)
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._conf = spark._jsc.hadoopConfiguration()
-        atexit.register(self._at_exit)
+        self.df = self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        self._fs.getFileSystem(self._conf).delete(self._fs, True)
-
-    def _at_exit(self) -> None:
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            self.drop()
+        delete(self.spark, self.path)
 
 
 def release(spark: SparkSession) -> None:
