@@ -663,3 +663,30 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     left = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", F.char_length(left).cast("bigint").alias("n_chars_left"), F.sha2(left, 256).alias("text_sha256"))
+
+
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents
+), w AS (
+  SELECT doc_id, no, line, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s FROM l
+), c AS (
+  SELECT s, len(s) AS n, min((doc_id, no)) AS at, row_number() OVER (ORDER BY min((doc_id, no))) AS c FROM w WHERE len(s) > 0 GROUP BY s
+), t AS (
+  SELECT c, n, unnest(s) AS word FROM c
+), f AS (
+  SELECT word, count(*) AS f FROM t GROUP BY word
+), p AS (
+  SELECT c, word FROM (SELECT c, n, word, row_number() OVER (PARTITION BY c ORDER BY f, word) AS k FROM t JOIN f USING (word)) WHERE k <= n - (80 * n + 99) // 100 + 1
+), m AS (
+  SELECT DISTINCT a.c AS a, b.c AS b FROM p a JOIN p b ON a.word = b.word AND a.c < b.c
+), late AS (
+  SELECT DISTINCT m.b AS c FROM (SELECT m.a, m.b, x.n + y.n AS n, len(list_intersect(x.s, y.s)) AS shared FROM m JOIN c x ON x.c = m.a JOIN c y ON y.c = m.b) m WHERE 100 * shared >= 80 * (n - shared)
+), g AS (
+  SELECT w.doc_id, w.no, w.line, len(w.s) > 0 AND (c.at <> (w.doc_id, w.no) OR late.c IS NOT NULL) AS gone FROM w LEFT JOIN c ON c.s = w.s LEFT JOIN late ON late.c = c.c
+), d AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id
+)
+SELECT o.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(coalesce(kept, '')) AS n_chars_left, sha256(coalesce(kept, '')) AS text_sha256
+FROM documents o LEFT JOIN d ON d.doc_id = o.doc_id
+"""
