@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from weftline.llm.licenses import BREAK, TEMPLATES, THRESHOLD, license_scan, op7_license_scan
+from weftline.llm.licenses import BREAK, HEADS, SPDX, TEMPLATES, THRESHOLD, license_scan, op7_license_scan
 
 FILE = re.compile(r"(^|/)(un)?(licen[sc]e|copying|notice)(\.[a-z0-9]+)?$", re.I)
 
@@ -11,6 +11,24 @@ def toks(t):
     return [x for x in re.split(BREAK, (t or "").lower()) if x]
 
 
+def units(p, t):
+    """Terms of lines, paragraphs of several lines, heads, and whole licence files."""
+    if t is None:
+        return
+    yield from map(toks, t.split("\n"))
+    if "\n" in t:
+        part = []
+        for k, line in enumerate([*t.split("\n"), ""]):
+            if re.search("[A-Za-z0-9]", line) or (not part and k == 0):
+                part.append(line)
+            else:
+                yield toks(" ".join(part))
+                part = []
+        yield from (toks(t)[:n] for n in HEADS)
+    if FILE.search(p):
+        yield toks(t)
+
+
 def brute(rows):
     files = [(p, t) for p, t in rows if p is not None]
     vocab = {t for _, x in TEMPLATES for t in toks(x)}
@@ -22,23 +40,26 @@ def brute(rows):
     temps = [vec(toks(x)) for _, x in TEMPLATES]
     own = {}
     for p, t in files:
-        for u in ([] if t is None else t.split("\n")) + [t] * bool(FILE.search(p)):
-            v = vec(toks(u))
+        tag = re.search(SPDX, t or "")
+        if tag:
+            own[p] = (1.0, 1, tag[1])
+        for u in units(p, t):
+            v = vec(u)
             for i, w in enumerate(temps):
                 dot = sum(x * w.get(k, 0) for k, x in v.items())
                 s = round(dot / math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in w.values())), 9) if dot else 0
                 if s >= THRESHOLD:
-                    own[p] = max(own.get(p, (0, 0)), (s, -i))
+                    own[p] = max(own.get(p, (0, 0, "")), (s, -i, TEMPLATES[i][0]))
     dirs = {}
     for p in sorted(own):
         if FILE.search(p):
             d = p.rpartition("/")[0]
             if d not in dirs or own[p][0] > dirs[d][0]:
-                dirs[d] = (own[p][0], TEMPLATES[-own[p][1]][0], p)
+                dirs[d] = (own[p][0], own[p][2], p)
     out = set()
     for p, _ in rows:
         if p in own:
-            out.add((p, TEMPLATES[-own[p][1]][0], own[p][0], "own", p))
+            out.add((p, own[p][2], own[p][0], "own", p))
             continue
         d, hit = p and p.rpartition("/")[0], None
         while p is not None and hit is None:
@@ -63,7 +84,10 @@ ROWS = [
     ("f/LICENSE", "Licensed under CC BY 4.0."),
     ("f/LICENCE.md", "Licensed under CC BY 4.0."),
     ("f/g/h", "we said this file is licensed under the MIT terms of another license"),
-    (None, "All rights reserved."),
+    (None, "Released under the MIT License."),
+    ("g/h.c", "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n *\n * code follows\n */\nint x"),
+    ("g/i.c", "// SPDX-License-Identifier: EPL-2.0\nint y"),
+    ("g/i.c", "another text of that path"),
 ]
 
 
@@ -87,9 +111,46 @@ def test_without_a_licence_at_the_root(spark):
 
 def test_repeats_empty_and_clashing_names(spark):
     assert run(spark, []) == set()
-    rows = [("q/LICENSE", "All rights reserved.", 1.0), ("q/LICENSE", None, 2.0), ("q/r", "x", None)]
+    rows = [("q/LICENSE", "Released under the ISC License.", 1.0), ("q/LICENSE", None, 2.0), ("q/r", "x", None)]
     out = license_scan(spark.createDataFrame(rows, "path string, text string, score double"))
-    assert sorted(r.license for r in out.collect()) == ["Proprietary"] * 3
+    assert sorted(r.license for r in out.collect()) == ["ISC"] * 3
+
+
+def wrapped(t, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(t, 70))
+
+
+def test_licence_files_and_headers(spark):
+    from weftline.llm.license_texts import HEADERS, NOTICES, OPENINGS, TEXTS
+
+    code = "\n\nint main(int argc, char **argv) {\n  return argc;\n}\n" * 3
+    rows = [(f"t{i}/LICENSE", "Copyright (c) 2021, Some Body\nAll rights reserved.\n\n" + wrapped(t), k) for i, (k, t) in enumerate(TEXTS)]
+    rows += [(f"u{i}/x.c", "/* Copyright (c) 2021 Some Body\n *\n" + wrapped(t, " * ") + "\n */\n" + code, k) for i, (k, t) in enumerate(TEXTS + HEADERS)]
+    rows += [(f"o{i}/COPYING", wrapped(t) + "\n\n" + "more words of a long licence " * 900, k) for i, (k, t) in enumerate(OPENINGS)]
+    rows += [(f"n{i}/x", "before\n" + t + "\nafter", k) for i, (k, t) in enumerate(NOTICES)]
+    rows += [(f"s{i}/x", f"# SPDX-License-Identifier: {k}\n" + code, k) for i, k in enumerate(("MIT", "GPL-2.0-only"))]
+    rows += [("z/LICENSE", "Copyright (c) 2024 Acme Corp. All rights reserved.", None), ("z/x", "All rights reserved.", None)]
+    rows += [(f"f{i}/y.txt", "the program and a file of the user\n" * 4, None) for i in range(300)]
+    got = {r.path: r.license for r in license_scan(spark.createDataFrame(rows, "path string, text string, want string")).collect()}
+    assert {p: (got[p], k) for p, _, k in rows if got[p] != k} == {}
+
+
+def test_texts_as_they_are_shipped(spark):
+    import pathlib
+
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(f"{n}/LICENSE", (folder / n).read_text(), k) for n, k in names.items() if (folder / n).exists()]
+    if rows:
+        got = {r.path: r.license for r in license_scan(spark.createDataFrame(rows, "path string, text string, want string")).collect()}
+        assert got == {p: k for p, _, k in rows}
+
+
+def test_very_long_texts(spark):
+    rows = [("a/x", "word " * 300_000 + "\nReleased under the MIT License.\n"), ("a/y", "z" * 2_000_000)]
+    assert {r.path: r.license for r in license_scan(spark.createDataFrame(rows, "path string, text string")).collect()} == {"a/x": "MIT", "a/y": None}
 
 
 def test_query_equals_brute_force(spark):

@@ -9,7 +9,6 @@ SF = "/root/testdata/sf0.001"
 def test_each_operator_has_one_query():
     names = sorted(registry.queries())
     assert [n for n in range(1, 11) if sum(x.startswith(f"op{n}_") for x in names) == 1] == list(range(1, 11))
-    assert "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))

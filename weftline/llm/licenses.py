@@ -1,9 +1,13 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-A unit is a line of a file, and for licence files also the whole text. Units and templates
-are sparse TF-IDF vectors. Document frequencies of all terms are counted over all files and
-joined to the terms of the scored units only. By Cauchy-Schwarz a unit cannot reach the threshold unless it shares one of a
-template's heavier terms, its anchors; only such units are scored.
+Templates are one-line notices, standard headers, whole short licences and the openings of
+long ones. A unit is a line of a file, a paragraph of several lines, the first words of the
+file, as many as an opening or a short licence has, and the whole text of a licence file.
+Units and templates are sparse TF-IDF vectors. Document frequencies of all terms are counted
+over all files and joined to the terms of the scored units only. By Cauchy-Schwarz a unit
+cannot reach the threshold unless it has some of a template's terms that weigh enough
+together; of those, the rarest are its anchors, and only units with an anchor are scored.
+An SPDX tag states its licence itself.
 
 A file without a licence of its own takes that of the nearest directory above it (its own
 directory first) that holds a licence file. Directories, not files, are joined with their
@@ -16,40 +20,33 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
-
-# Short notices of licences, by SPDX name (and two that SPDX does not name).
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("ISC", "Released under the ISC License."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("Proprietary", "All rights reserved."),
-)
+from weftline.llm.common import cut, quoted
+from weftline.llm.license_texts import HEADERS, NOTICES, OPENINGS, TEXTS
+
+#: By SPDX name; of equal cosines the first one counts.
+TEMPLATES = NOTICES + HEADERS + TEXTS + OPENINGS
 #: Cosine from which a unit carries a template's licence.
 THRESHOLD = 0.75
 #: Names of licence files.
 LICENSE_FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|notice)(\.[a-z0-9]+)?$"
 
+#: A tag that names the licence of its file.
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
+
 BREAK = "[^a-z0-9]+"
+#: Lines without a letter or digit of ASCII part paragraphs.
+GAP = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+#: Words of a file's head, once for openings and once for short licences.
+HEADS = (120, 240)
 #: Terms of scored units up to which their weights are broadcast; beyond it the join shuffles.
 FEW_TERMS = 200_000
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def template_terms(text: str) -> Counter:
@@ -69,14 +66,17 @@ def template_vectors(templates: tuple[tuple[str, str], ...], weights: dict[str,
     return out
 
 
-def anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
-    """Terms one of which a unit must have: the others of a template weigh too little."""
+def anchors(vectors: list[dict[str, float]], threshold: float, seen: dict[str, int]) -> list[str]:
+    """Terms one of which a unit must have: the others of a template weigh too little.
+
+    ``seen`` tells how many files hold a term; the commonest are left out first.
+    """
     out = set()
     for v in vectors:
-        light = 0.0
-        for t in sorted(v, key=lambda t: (v[t], t)):
-            light += v[t] ** 2
-            if light >= threshold**2 * (1 - 1e-9):
+        others = 0.0
+        for t in sorted(v, key=lambda t: (-seen.get(t, 0), t)):
+            others += v[t] ** 2
+            if others >= threshold**2 * (1 - 1e-9):
                 out.add(t)
     return sorted(out)
 
@@ -85,6 +85,20 @@ def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def _units(files: DataFrame) -> DataFrame:
+    """path, unit and terms of what is compared with the templates."""
+    text, path = F.col("text"), F.col("path")
+    several = text.contains("\n")
+    lines = files.select(path, F.posexplode(F.split(text, "\n")).alias("no", "part"), text, F.lit("line").alias("kind"))
+    parts = files.where(several).select(path, F.posexplode(F.split(text, GAP)).alias("no", "part"), text, F.lit("part").alias("kind")).where(F.col("part").contains("\n"))
+    cuts = lines.unionByName(parts).select(path, F.xxhash64("kind", "no", "text").alias("unit"), terms(F.col("part")).alias("terms"))
+    words = files.where(several).select(path, text, terms(text).alias("terms"))
+    heads = words.select(path, F.explode(F.array(*map(F.lit, HEADS))).alias("n"), "terms", text)
+    heads = heads.select(path, F.xxhash64(F.lit("head"), "n", "text").alias("unit"), F.expr("slice(terms, 1, n)").alias("terms"))
+    whole = files.where(path.rlike(LICENSE_FILE)).select(path, F.xxhash64(F.lit("whole"), "text").alias("unit"), terms(text).alias("terms"))
+    return cuts.unionByName(heads).unionByName(whole)
+
+
 def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
     """path, license, score of the files (path, text) in which a unit reaches the threshold."""
     vocab = sorted({t for _, text in templates for t in template_terms(text)})
@@ -95,15 +109,13 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], thres
     seen = {r["term"]: r["n"] for r in counts.where(F.col("term").isin(vocab)).collect()}
     weights = {t: idf(n, seen.get(t, 0)) for t in vocab}
     vectors = template_vectors(templates, weights)
-    heavy = anchors(vectors, threshold)
+    heavy = anchors(vectors, threshold, seen)
 
     spark = files.sparkSession
     by_term = [(t, i, x) for i, v in enumerate(vectors) for t, x in v.items()]
     table = F.broadcast(spark.createDataFrame(by_term, "t_term string, template int, t_weight double"))
 
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("unit", "line")).select("path", "unit", terms(F.col("line")).alias("terms"))
-    whole = files.where(F.col("path").rlike(LICENSE_FILE)).select("path", F.lit(-1).alias("unit"), terms(F.col("text")).alias("terms"))
-    units = lines.unionByName(whole).where(F.arrays_overlap("terms", _array(heavy)))
+    units = _units(files).where(F.arrays_overlap("terms", _array(heavy)))
     tf = cut(units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("tf")))
     weight = cut(counts.join(tf.select("term").distinct(), "term").select(F.col("term").alias("w_term"), (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("weight")))
     few = weight.limit(FEW_TERMS + 1).count() <= FEW_TERMS
@@ -113,9 +125,12 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], thres
     scored = dots.join(norms, (F.col("path") == F.col("n_path")) & (F.col("unit") == F.col("n_unit")))
     # sums of floats depend on their order in the last digits; ties should not
     scored = scored.select("path", "template", F.round(F.col("dot") / F.col("size"), 9).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("path").agg(F.max(F.struct("score", (-F.col("template")).alias("t"))).alias("best"))
     names = _array([name for name, _ in templates])
-    return best.select("path", F.get(names, -F.col("best.t")).alias("license"), F.col("best.score").alias("score"))
+    scored = scored.select("path", "score", (-F.col("template")).alias("t"), F.get(names, F.col("template")).alias("license"))
+    # the first tag of a file; it goes before a template of the same cosine
+    tags = files.where(F.col("text").contains("SPDX-License-Identifier:")).select("path", F.lit(1.0).alias("score"), F.lit(1).alias("t"), F.regexp_extract("text", SPDX, 1).alias("license")).where("license <> ''")
+    best = scored.unionByName(tags).groupBy("path").agg(F.max(F.struct("score", "t", "license")).alias("b"))
+    return best.select("path", "b.license", "b.score")
 
 
 def directory(path: Column) -> Column:
@@ -139,19 +154,18 @@ def license_scan(df: DataFrame, path_col: str = "path", text_col: str = "text",
 
     ``basis`` is "own", "inherited" or null where no licence is known; ``from_path`` is the
     file that says so, ``score`` its cosine if it is the file itself. Of several licences in
-    a file the one with the highest cosine counts, then the first template; of several
-    licence files in a directory likewise, then the smallest path. A null text has no
+    a file the one with the highest cosine counts, then a tag, then the first template; of
+    several licence files in a directory the one with the highest cosine, then the smallest
+    path. Whole texts of any length are read. A null text has no
     licence of its own; a null path stands alone in no directory: it has none at all. Rows
     that repeat a path are one file: a licence in any of their texts is that of all. An
     empty table gives an empty result; other columns are ignored.
     """
-    files = df.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
+    files = df.select(F.col(quoted(path_col)).cast("string").alias("path"), F.col(quoted(text_col)).alias("text"))
     own = cut(own_licenses(files.where("path is not null"), templates, threshold))
     of_file = own.where(F.col("path").rlike(LICENSE_FILE))
-    top = F.max_by(F.struct("license", F.col("path").alias("from_path")), F.struct("score", F.col("turn")))
-    turned = of_file.withColumn("dir", directory(F.col("path")))
-    turned = turned.withColumn("turn", -F.row_number().over(Window.partitionBy("dir").orderBy("path")))
-    licensed = turned.groupBy("dir").agg(top.alias("b")).select("dir", "b.*")
+    first = F.min(F.struct((-F.col("score")).alias("s"), F.col("path").alias("from_path"), "license"))
+    licensed = of_file.groupBy(directory(F.col("path")).alias("dir")).agg(first.alias("b")).select("dir", "b.license", "b.from_path")
     paths = files.select("path")
     near = nearest(paths.where("path is not null").select(directory(F.col("path")).alias("dir")).distinct(), licensed)
     said = own.select(F.col("path").alias("o_path"), "license", "score")
@@ -177,3 +191,55 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     out = license_scan(docs)
     doc_id = F.regexp_extract("path", r"(-?[0-9]+)(\.txt)?$", 1).try_cast("bigint")
     return out.select(doc_id.alias("doc_id"), "path", "license", "score", "basis", "from_path")
+
+
+def op7_sql() -> str:
+    """The same in SQL, with the templates as a table."""
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+    toks = "list_filter(regexp_split_to_array(lower({}), '" + BREAK + "'), lambda x: x <> '')"
+    return rf"""
+WITH files AS (
+  SELECT doc_id, coalesce(source, 'none') || '/f' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CASE WHEN doc_id % 10 = 0 THEN 'LICENSE.' || CAST(doc_id AS VARCHAR) ELSE 'd' || CAST(doc_id // 200 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' END AS path, text FROM documents
+), templates(t, license, text) AS (VALUES {rows}),
+df AS (
+  SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({toks.format("coalesce(text, '')")})) AS term FROM files) GROUP BY term
+), total AS (
+  SELECT count(*) AS n FROM files
+), units AS (
+  SELECT path, 'line' AS kind, unnest(range(len(string_split(text, chr(10))))) AS no, {toks.format("unnest(string_split(text, chr(10)))")} AS terms FROM files WHERE text IS NOT NULL
+  UNION ALL
+  SELECT path, 'part', no, {toks.format("part")} FROM (SELECT path, unnest(range(len(regexp_split_to_array(text, '{GAP}')))) AS no, unnest(regexp_split_to_array(text, '{GAP}')) AS part FROM files WHERE contains(text, chr(10))) WHERE contains(part, chr(10))
+  UNION ALL
+  SELECT path, 'head', n, {toks.format("text")}[1:n] FROM files, (VALUES ({HEADS[0]}), ({HEADS[1]})) h(n) WHERE contains(text, chr(10))
+  UNION ALL
+  SELECT path, 'whole', 0, {toks.format("text")} FROM files WHERE text IS NOT NULL AND regexp_matches(path, '{LICENSE_FILE}')
+), tf AS (
+  SELECT path, kind, no, term, count(*) AS tf FROM (SELECT path, kind, no, unnest(terms) AS term FROM units) GROUP BY ALL
+), w AS (
+  SELECT path, kind, no, term, tf * (ln((1 + total.n) / (1 + df.n)) + 1) AS w FROM tf JOIN df USING (term), total
+), size AS (
+  SELECT path, kind, no, sqrt(sum(w * w)) AS size FROM w GROUP BY ALL
+), tt AS (
+  SELECT t, term, count(*) AS tf FROM (SELECT t, unnest({toks.format("text")}) AS term FROM templates) GROUP BY ALL
+), tw AS (
+  SELECT t, tt.term, tf * (ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1) AS w FROM tt LEFT JOIN df ON df.term = tt.term, total
+), ts AS (
+  SELECT t, sqrt(sum(w * w)) AS size FROM tw GROUP BY t
+), scored AS (
+  SELECT w.path, tw.t, round(sum(w.w * tw.w) / any_value(size.size) / any_value(ts.size), 9) AS score
+  FROM w JOIN tw USING (term) JOIN size ON size.path = w.path AND size.kind = w.kind AND size.no = w.no JOIN ts ON ts.t = tw.t
+  GROUP BY w.path, w.kind, w.no, tw.t
+), found AS (
+  SELECT path, score, -t AS turn, license FROM scored JOIN templates USING (t) WHERE score >= {THRESHOLD}
+  UNION ALL
+  SELECT path, 1.0, 1, regexp_extract(text, '{SPDX}', 1) FROM files WHERE regexp_extract(text, '{SPDX}', 1) <> ''
+), own AS (
+  SELECT path, max((score, turn, license)) AS b FROM found GROUP BY path
+), dirs AS (
+  SELECT dir, min((-score, path, license)) AS b FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, path, b[1] AS score, b[3] AS license FROM own WHERE regexp_matches(path, '{LICENSE_FILE}')) GROUP BY dir
+), near AS (
+  SELECT f.path, max((length(dirs.dir), dirs.b[3], dirs.b[2])) AS b FROM files f JOIN dirs ON starts_with(f.path, dirs.dir || '/') GROUP BY f.path
+)
+SELECT f.doc_id, f.path, coalesce(own.b[3], near.b[2]) AS license, own.b[1] AS score, CASE WHEN own.path IS NOT NULL THEN 'own' WHEN near.path IS NOT NULL THEN 'inherited' END AS basis, CASE WHEN own.path IS NOT NULL THEN f.path ELSE near.b[3] END AS from_path
+FROM files f LEFT JOIN own ON own.path = f.path LEFT JOIN near ON near.path = f.path
+"""

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.ann import op6_permutation_index
 from weftline.llm.bpe import op1_byte_bpe
 from weftline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from weftline.llm.language import op9_language
-from weftline.llm.licenses import op7_license_scan
-from weftline.llm.line_dedup import op4_line_dedup
+from weftline.llm.licenses import op7_license_scan, op7_sql
+from weftline.llm.line_dedup import OP4_SQL, op4_line_dedup
 from weftline.llm.mixing import op8_mixing
-from weftline.llm.near_dedup import op2_near_dedup
+from weftline.llm.near_dedup import OP2_SQL, op2_near_dedup
 from weftline.llm.pii import op3_pii
 from weftline.llm.token_files import op5_token_files
 
@@ -31,9 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_language": op9_language,
         "op10_exact_dedup": op10_exact_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_license_scan": op7_sql(), "op10_exact_dedup": OP10_SQL}
