@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from weftline.llm.mixing import mix, splitting_tree
@@ -55,12 +56,79 @@ def test_tree_is_exact_and_fair():
     quotas = [1000, 10, 0, 333, 1]
     for shards in (1, 2, 5, 8):
         tree = splitting_tree(quotas, shards, 3)
-        assert [sum(row[i] for row in tree) for i in range(5)] == quotas and len(tree) == shards
-        assert max(map(sum, tree)) - min(map(sum, tree)) <= 1
+        assert tree.sum(axis=0).tolist() == quotas and len(tree) == shards
+        assert np.ptp(tree.sum(axis=1)) <= 1
     draws = [splitting_tree([600, 400], 2, s)[0][0] for s in range(400)]
     # 500 drawn from 1000 of which 600 are good: mean 300, variance 60
     assert abs(sum(draws) / 400 - 300) < 2 and 40 < sum((x - 300) ** 2 for x in draws) / 400 < 85
-    assert splitting_tree([10**9, 10**9], 4, 1) == splitting_tree([10**9, 10**9], 4, 1)
+    large = splitting_tree([4 * 10**8, 5 * 10**8], 4, 1)
+    assert (large == splitting_tree([4 * 10**8, 5 * 10**8], 4, 1)).all() and large.sum(axis=0).tolist() == [4 * 10**8, 5 * 10**8]
+
+
+def test_shards_follow_the_tree(spark, monkeypatch):
+    from weftline.llm import mixing
+
+    rows = [(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    seen = []
+
+    def tree(quotas, shards, seed):
+        if shards == 4:
+            seen.append(quotas)
+            seen.append(made := splitting_tree(quotas, shards, seed))
+            return made
+        return splitting_tree(quotas, shards, seed)
+
+    monkeypatch.setattr(mixing, "splitting_tree", tree)
+    got = mix(df, block_words=50, shards=4).collect()
+    quotas, made = seen
+    assert len(quotas) == 3 and made.shape == (4, 3)
+    # a block of a source is in as many shards as it is drawn, so blocks by shard add up to the tree
+    blocks = defaultdict(set)
+    sizes = {r.source: r.source_size for r in got}
+    for r in got:
+        for k, d in enumerate(r.draws):
+            n = max(-(-sizes[r.source] // 50), 1)
+            blocks[r.source, d.shard].add((k, int(spark_block(spark, r.doc_id)) % n))
+    for i, s in enumerate("abc"):
+        for shard in range(4):
+            assert len(blocks[s, shard]) <= made[shard][i]
+        assert sum(len(blocks[s, shard]) for shard in range(4)) <= quotas[i]
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, s: np.array([q, *[[0] * len(q)] * (n - 1)]))
+    other = mix(df, block_words=50, shards=4).collect()
+    assert {d.shard for r in other for d in r.draws} == {0}
+    assert sorted((r.doc_id, r.taken) for r in other) == sorted((r.doc_id, r.taken) for r in got)
+
+
+def spark_block(spark, i, cache={}):  # noqa: B006
+    if not cache:
+        from pyspark.sql import functions as F
+
+        from weftline.llm.mixing import SEED
+
+        cache |= {r[0]: r[1] for r in spark.range(900).select("id", F.xxhash64(F.lit(SEED), F.col("id"))).collect()}
+    return cache[i]
+
+
+def test_more_sources_than_any_stratum_and_long_texts(spark):
+    rows = [(i, "w " * (i % 3 + 1), f"s{i}") for i in range(5000)] + [(5000, "long " * 300_000, "s1")]
+    got = mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), shards=3).collect()
+    assert len(got) == 5001 and max(r.size for r in got) == 300_000
+    assert all(r.taken == sum(d.words for d in r.draws) <= 3 * r.size for r in got)
+
+
+def test_mixed_rows_repeat_as_often_as_they_are_drawn(spark):
+    from weftline.llm.mixing import mixed
+
+    rows = [(1, "a b", "x", 1, "p"), (1, "c d", "x", 2, "p"), (None, "e f", "y", 3, "q"), (None, None, None, 4, "q"), (2, "g", "z", 5, "r")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, shard int, `a.b` string")
+    got = mixed(df)
+    assert got.columns == df.columns
+    n = defaultdict(int)
+    for r in got.collect():
+        n[tuple(r)] += 1
+    want = {r.shard: len(r.draws) for r in mix(df, whole=True, keep=("shard",)).collect()}
+    assert {k[3]: v for k, v in n.items()} == {k: v for k, v in want.items() if v} and set(n) <= set(rows) and all(v <= 3 for v in n.values())
 
 
 def test_empty_blank_null_and_clashing_names(spark):

@@ -10,17 +10,18 @@ quotas add up exactly. Shards then take runs of each source's permuted blocks an
 their own documents by a hash.
 
 Only DataFrame functions touch rows. The tree is drawn on the driver over one count for each
-of at most ``STRATA`` strata of sources, whatever the number of rows.
+source, whatever the number of rows; blocks grow with the corpus, so that the counts stay in
+the range of the exact sampler. Sources are few next to documents: their table, a row each,
+is ordered in one task.
 """
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, fresh, quoted
 
 # Weights of the sources in order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -30,8 +31,8 @@ MOST = 3
 #: Words of a block, about, and the most blocks of one source.
 BLOCK_WORDS = 8192
 MOST_BLOCKS = 1 << 16
-#: Strata of sources for which the tree keeps a count; with fewer sources each is its own.
-STRATA = 4096
+#: Blocks of all sources, about, up to which a block has BLOCK_WORDS; beyond, blocks grow.
+ALL_BLOCKS = 1 << 27
 SHARDS = 16
 SEED = 20240
 
@@ -63,37 +64,18 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     return rows.withColumn("target", F.when(full, F.col("cap")).otherwise(level * F.col("w"))).drop("w", "cap", "level", "turn")
 
 
-def _draw(rng: random.Random, good: int, bad: int, k: int) -> int:
-    """Hypergeometric: how many of ``k`` drawn from good + bad are good."""
-    if k > good + bad - k:
-        return good - _draw(rng, good, bad, good + bad - k)
-    if k > 50_000:
-        # a cut of the normal law; the step is exact in its sum and its bounds
-        n, p = good + bad, good / (good + bad)
-        sd = (k * p * (1 - p) * (n - k) / max(n - 1, 1)) ** 0.5
-        return min(max(round(rng.gauss(k * p, sd)), max(0, k - bad)), min(k, good))
-    got = 0
-    for left in range(k):
-        got += rng.random() * (good + bad - left) < good - got
-    return got
-
+def splitting_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
+    """For each shard (row), how many of each source's draws it gets; sums are exact.
 
-def splitting_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
-    """For each shard, how many of each stratum's draws it gets; sums are exact.
-
-    Sizes of shards differ by one draw at most.
+    Sizes of shards differ by one draw at most. Each node of the tree is an exact
+    multivariate-hypergeometric draw, which takes up to 10^9 draws in all.
     """
+    q = np.asarray(quotas, np.int64)
     if shards == 1:
-        return [list(quotas)]
-    rng = random.Random(f"{seed}/{shards}/{sum(quotas)}/{quotas[:8]}")
-    total = sum(quotas)
-    need, rest, left = total * (shards // 2) // shards, total, []
-    for q in quotas:
-        x = _draw(rng, q, rest - q, need)
-        left.append(x)
-        need, rest = need - x, rest - q
-    right = [q - x for q, x in zip(quotas, left, strict=True)]
-    return splitting_tree(left, shards // 2, 2 * seed) + splitting_tree(right, shards - shards // 2, 2 * seed + 1)
+        return q[None]
+    rng = np.random.Generator(np.random.PCG64([seed, shards, int(q.sum()), len(q)]))
+    left = rng.multivariate_hypergeometric(q, int(q.sum()) * (shards // 2) // shards, method="marginals")
+    return np.concatenate([splitting_tree(left, shards // 2, 2 * seed), splitting_tree(q - left, shards - shards // 2, 2 * seed + 1)])
 
 
 def mix(
@@ -108,21 +90,28 @@ def mix(
     block_words: int = BLOCK_WORDS,
     seed: int = SEED,
     whole: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: id, source, ``size``, ``source_size``, ``target``, ``taken``, ``draws``.
 
+    ``keep`` names more columns of the input to pass, which are moved between tasks once.
+
     ``draws`` is an array of (shard, place, words), one for each time that the document is
     taken; ``place`` orders a shard. ``taken`` sums its words. At most one document of a
     source is taken in part, its first words, so that the source's sum is its target to the
     word. With ``whole`` no document is taken in part: a source ends at the boundary of a
     document that is nearest its target, the later of two, but a source with a target has one
     document at least. A null source is a source of its own; documents without words have no draws; rows
-    that repeat an id are dealt together but counted each. An empty table gives an empty
-    result; other columns are ignored. The same rows give the same mix in any order.
+    that repeat an id are dealt together but counted each; texts of any length are read
+    whole. An empty table gives an empty result; other columns are ignored. The same rows
+    give the same mix in any order.
     """
     key = F.xxhash64(F.lit(seed), F.col("id"))
-    docs = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")))
-    totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sized = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).cast("string").alias("source"), words(F.col(quoted(text_col))).alias("size"), *[F.struct(*[F.col(quoted(c)) for c in keep]).alias("kept")] * bool(keep))
+    docs = cut(sized.select("id", "source", "size"))
+    totals = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+    every = totals.agg(F.sum("source_size")).first()[0] or 0
+    block_words = max(block_words, every // ALL_BLOCKS)
     goal = targets(totals, weights, most)
     passes = F.least(F.floor(F.round("target") / F.greatest("source_size", F.lit(1))), F.lit(most)).cast("bigint")
     blocks = F.least(F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(1)), F.lit(MOST_BLOCKS)).cast("bigint")
@@ -132,9 +121,11 @@ def mix(
         rest = F.when((F.col("passes") == 0) & (F.col("target") > 0), F.greatest(rest, F.lit(1))).otherwise(rest)
     goal = cut(goal.withColumn("rest", rest))
 
-    dealt = docs.alias("d").join(F.broadcast(goal) if _few(goal) else goal, F.col("d.source").eqNullSafe(goal["source"])).drop(goal["source"])
-    dealt = dealt.withColumn("block", F.pmod(key, F.col("n_blocks")))
+    def placed(rows: DataFrame) -> DataFrame:
+        met = rows.alias("d").join(F.broadcast(goal) if _few(goal) else goal, F.col("d.source").eqNullSafe(goal["source"])).drop(goal["source"])
+        return met.withColumn("block", F.pmod(key, F.col("n_blocks")))
 
+    dealt = placed(docs)
     in_source = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("source", "block", "rest").agg(F.sum("size").alias("block_size"))
     sums = sums.select("source", "block", "rest", "block_size", F.coalesce(F.sum("block_size").over(in_source), F.lit(0)).alias("before"))
@@ -142,20 +133,17 @@ def mix(
     sums = cut(sums.select("source", "block", "before", extra.alias("extra")))
 
     quotas = goal.join(sums.groupBy(F.col("source").alias("s")).agg(F.max(F.when(F.col("extra") > 0, F.col("block") + 1).otherwise(0)).alias("more")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    stratum = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(STRATA))
-    quotas = quotas.select("source", stratum.alias("stratum"), (F.col("passes") * F.col("n_blocks") + F.col("more")).alias("quota"))
-    first = F.coalesce(F.sum("quota").over(Window.partitionBy("stratum").orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quotas = cut(quotas.select("source", "stratum", first.alias("first"), "quota"))
-    strata = {r[0]: r[1] for r in quotas.groupBy("stratum").agg(F.sum("quota")).collect()}
-    order = sorted(strata)
-    tree = splitting_tree([strata[x] for x in order], shards, seed) if order else []
-    ends = [[sum(row[i] for row in tree[: k + 1]) for k in range(shards)] for i in range(len(order))]
-    bounds = docs.sparkSession.createDataFrame([(x, e) for x, e in zip(order, ends, strict=True)], "stratum int, ends array<bigint>")
-    shares = quotas.join(F.broadcast(bounds), "stratum").select(F.col("source").alias("q_source"), "first", "ends")
+    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    quotas = cut(quotas.select("source", turn.alias("turn"), (F.col("passes") * F.col("n_blocks") + F.col("more")).alias("quota")))
+    # one number for each source
+    counts = [r[0] for r in quotas.orderBy("turn").select("quota").toLocalIterator()]
+    ends = np.cumsum(splitting_tree(counts, shards, seed), axis=0) if counts else np.zeros((shards, 0), np.int64)
+    bounds = docs.sparkSession.createDataFrame([(i, e) for i, e in enumerate(ends.T.tolist())], "b_turn int, ends array<bigint>")
+    shares = quotas.join(F.broadcast(bounds) if len(counts) <= FEW_SOURCES else bounds, F.col("turn") == F.col("b_turn")).select(F.col("source").alias("q_source"), "ends")
     plan = sums.join(F.broadcast(shares) if _few(quotas) else shares, F.col("source").eqNullSafe(F.col("q_source")))
-    plan = plan.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "before", "extra", "first", "ends")
+    plan = plan.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "before", "extra", "ends")
 
-    rows = dealt.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")))
+    rows = (placed(sized) if keep else dealt).join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")))
     within = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 1), F.col("id")), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     lead = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0))
     some = F.least(F.greatest(lead, F.lit(0)), F.col("size"))
@@ -167,15 +155,29 @@ def mix(
 
     def draw(turn: Column, n: Column) -> Column:
         # pass t of a source takes its blocks in order, after those of the passes before it
-        at = F.col("first") + turn * F.col("n_blocks") + F.col("block")
+        at = turn * F.col("n_blocks") + F.col("block")
         shard = F.size(F.filter("ends", lambda e: e <= at))
         return F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed + 2), F.col("id"), turn).alias("place"), n.alias("words"))
 
     whole = F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(0), F.col("passes").cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda t: draw(t.cast("bigint"), F.col("size")))
     draws = F.filter(F.concat(whole, F.array(draw(F.col("passes"), F.col("part")))), lambda x: x["words"] > 0)
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda a, x: a + x["words"])
-    rows = rows.select("id", "source", "size", "source_size", "target", draws.alias("draws")).select("*", taken.alias("taken"))
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "draws")
+    rows = rows.select("id", "source", "size", "source_size", "target", *["kept"] * bool(keep), draws.alias("draws")).select("*", taken.alias("taken"))
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "draws", *[F.col("kept")[c].alias(c) for c in keep])
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``df``, always whole, each as often as the mix takes it.
+
+    Rows stand by shard and, in a shard, in its order, within each partition; a shard is
+    spread over all partitions, so none is larger than another. Rows that repeat an id, or
+    have none, are taken each for itself; nulls and blanks as in mix().
+    """
+    shard, place = fresh(df, "shard", "place")
+    out = mix(df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("t"), F.col(quoted(source_col)).alias("s"), F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")), "id", "t", "s", whole=True, keep=("row",), **options)
+    out = out.select("row", F.inline("draws")).select("row.*", F.col("shard").alias(shard), F.col("place").alias(place))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, shard, F.pmod(place, F.lit(n))).sortWithinPartitions(shard, place).drop(shard, place)
 
 
 #: Sources up to which their table is broadcast; beyond it the join shuffles.
@@ -187,5 +189,6 @@ def _few(sources: DataFrame) -> bool:
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and the draws: shard, place in it and words."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "draws")
