@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from weftline.llm.pii import BASE, find, joined, luhn, mod97, pii_spans
+from weftline.llm.pii import BASE, find, joined, luhn, mod97, op3_pii, pii_spans
 
 # the four patterns as stated, with their checks
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -65,3 +65,43 @@ def test_iban_beside_other_capitals():
     assert ibans("ZZ" + f"{98 - int('12345678901' + '3535' + '00') % 97:02d}" + "12345678901 AND") == ["ZZ" + f"{98 - int('12345678901' + '3535' + '00') % 97:02d}" + "12345678901"]
     assert ibans("DE89370400440532013000X DE89370400440532013001 USD") == []
     find("DE89 " * 50_000)
+
+
+def test_context_decides_on_weak_kinds():
+    def kinds(text):
+        return [k for k, *_ in find(text)]
+
+    for kind, thing, word in (
+        ("phone_local", "(212) 555-0187", "call"),
+        ("phone_local", "212-555-0187", "tel"),
+        ("card13", "4222222222222", "card"),
+        ("ip6", "2001:db8:0:0:0:0:0:1", "server"),
+        ("email_masked", "jo.doe (at) mail [dot] example.com", "contact"),
+        ("iban_small", "de89 3704 0044 0532 0130 00", "konto"),
+        ("ssn", "123-45-6789", "ssn"),
+    ):
+        assert kinds(f"{word} {thing}, thanks") == [kind] and kinds(f"xyz {thing}, thanks") == []
+    assert kinds("call +1 (212) 555-0187") == ["phone"] and kinds("card 4222222222223") == []
+    assert kinds("iban gb82west12345698765432 or GB82west12345698765432") == ["iban_small"] * 2
+    assert kinds("iban de89 3704 0044 0532 0130 01") == []
+    for t in ("a(at)" * 50_000, "1:" * 100_000, "212-555-" * 30_000, "de89 " * 40_000, "ab12 " + "a1 " * 80_000):
+        find("iban call " + t)
+
+
+def test_query_equals_the_patterns(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{d}/documents.parquet'").fetchall())
+    got = op3_pii(spark, d).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in want) for x in BASE]
+        assert len(r.scores) == (r.spans.count(",") + 1 if r.spans else 0)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a@b.co", 2, "x")], "`id.x` bigint, text string, id int, spans string")
+    assert [tuple(r)[0] for r in pii_spans(df, "id.x").collect()] == [1]
