@@ -1,6 +1,10 @@
 import random
 
-from weftline.llm.language import fit, fit_texts, known_only, op9_language, predict
+import zlib
+
+import numpy as np
+
+from weftline.llm.language import GRAM, HASHES, MULTIPLIERS, fit, fit_texts, grams, known_only, normal, op9_language, predict, sample
 
 STEMS = {"en": ["the", "ing", "ther", "wh", "sh", "and"], "de": ["sch", "ung", "ein", "der", "pf", "zu"], "xx": ["qa", "qi", "zzo", "kwe"]}
 
@@ -48,3 +52,36 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.001"
     got = op9_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").where("held_out and lang is not null").collect()
     assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
+def test_bloom_counts_equal_plain_lookups():
+    rng = random.Random(5)
+    model = fit_texts(labelled(rng))
+    for t in (text(rng, "en", 50), text(rng, "xx", 5), "a", "Ärger und Öl"):
+        data = normal(t)
+        want = [0] * len(model.languages)
+        for k in range(len(data) - GRAM + 1):
+            g = int.from_bytes(data[k : k + GRAM], "little")
+            at = [((g ^ g >> 15) * m % 2**32) >> (32 - model.table.shape[1].bit_length() + 1) for m in MULTIPLIERS[:HASHES]]
+            for i in range(len(model.languages)):
+                want[i] += all(int(model.table[i // 64][p]) >> i % 64 & 1 for p in at)
+        assert model.counts(data)[0].tolist() == want and len(grams(data)) == len(data) - GRAM + 1
+    # every n-gram that a language was taught is found there
+    taught = grams(normal("the thing"))
+    own = fit_texts([("en", "the thing")])
+    assert own.hits(taught, np.array([0]))[0, 0] == len(taught)
+
+
+def test_query_holds_out_by_its_rule(spark):
+    rows = op9_language(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, "w" * 10 + str(i), "a") for i in range(300)] + [(7, "same", "b")] * 200 + [(1000, "long" * 1000, "c"), (1001, "longer" * 1000, "c"), (1002, None, "c"), (1003, "x", None)]
+    df = spark.createDataFrame(rows, "i bigint, l string, h string")
+    got = sample(df, "i", "l", "h", rows=50, size=3000)
+    count = {k: sum(x == k for x, _ in got) for k in "abc"}
+    assert 40 <= count["a"] <= 50 and count["b"] == 1 and count["c"] == 1
+    assert got == sample(df.repartition(5), "i", "l", "h", rows=50, size=3000)
+    assert {x for x, _ in sample(df, "i", "l", "h", languages=1)} == {"a"} and sample(df.limit(0), "i", "l", "h") == []

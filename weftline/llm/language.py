@@ -8,15 +8,16 @@ gives by chance, and the largest count decides.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import by_batch, texts
+from weftline.llm.common import by_batch, quoted, texts
 
 #: Bytes of an n-gram; texts are in lower case, what is no letter in ASCII is a space.
 GRAM = 4
@@ -27,8 +28,8 @@ HASHES = 2
 LEAST_SHARE = 2e-6
 #: ... and at least so frequent compared with the language where it is most frequent.
 LEAST_RATIO = 0.1
-#: The sample to learn from: the rows of each language with the smallest hash of their id.
-SAMPLE_ROWS = 2000
+#: The sample to learn from: so many texts of a language, of so many bytes, of so many languages.
+SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES = 2000, 1 << 24, 256
 #: Texts are counted so many bytes at a time.
 BLOCK = 1 << 20
 
@@ -162,15 +163,34 @@ def fit_texts(labelled: list[tuple[str, str]]) -> Model:
     return Model(languages, table, fill**HASHES)
 
 
-def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled whole texts of each language, the same ones each time."""
-    key = F.xxhash64(F.col(id_col))
-    ids = df.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), key.alias("h"))
-    turn = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
-    # ids and hashes only; at most ``rows`` of a language leave each task
-    picked = ids.withColumn("n", turn).where(F.col("n") <= rows).select("i", "l").distinct()
-    rows_ = df.join(F.broadcast(picked), (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("l"))).select("l", F.col(text_col).alias("t")).where("t is not null")
-    return [(r["l"], r["t"]) for r in rows_.toLocalIterator()]
+def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+    """Labelled whole texts of the commonest ``languages``, the same ones each time.
+
+    Of each language at most ``rows`` texts and ``size`` bytes (one text at least): those with
+    the smallest hash of id and text, repeated rows once. The hash of the last one is found
+    on numbers alone, so that only texts that are taken leave the tasks.
+    """
+    labelled = df.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(lang_col)).cast("string").alias("l"), F.col(quoted(text_col)).alias("t")).where("l is not null and t is not null")
+    hashed = labelled.withColumn("h", F.xxhash64("i", "t"))
+    known = {r["l"]: (r["n"], r["h"]) for r in hashed.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h")).orderBy(F.desc("n"), "l").limit(languages).collect()}
+
+    def up_to(last: dict[str, int]) -> DataFrame:
+        limit = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+        return hashed.where(F.col("h") <= F.try_element_at(limit, F.col("l")))
+
+    if not known:
+        return []
+    # half as many again as are wanted, so that chance leaves enough
+    near = up_to({k: max(least, -(2**63) + min(int((1.5 * rows + 50) / n * 2**64), 2**64 - 1)) for k, (n, least) in known.items()})
+    last, held = {}, Counter()
+    for r in near.select("l", "h", F.octet_length("t").alias("n")).distinct().orderBy("h").collect():
+        held[r["l"], "rows"] += 1
+        held[r["l"], "bytes"] += r["n"]
+        if held[r["l"], "rows"] == 1 or held[r["l"], "rows"] <= rows and held[r["l"], "bytes"] <= size:
+            last[r["l"]] = r["h"]
+        else:
+            held[r["l"], "bytes"] += size  # full
+    return [(r["l"], r["t"]) for r in up_to(last).dropDuplicates(["l", "h"]).orderBy("l", "h").select("l", "t").toLocalIterator()]
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
@@ -185,7 +205,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     judged, whole texts are read whatever their length, an empty table gives an empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = df.select(F.col(id_col), *keep).schema
+    id_, keep = F.col(quoted(id_col)), [F.col(quoted(c)) for c in keep]
+    schema = df.select(id_, *keep).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = shared.value.predict(texts(batch.column(0)))
@@ -194,7 +215,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     names = list(schema.names)
     out = schema.add("lang_pred", "string").add("score", "double").add("coverage", "double")
-    return df.select(F.col(text_col).alias("__text"), F.col(id_col), *keep).mapInArrow(by_batch(run), out)
+    return df.select(F.col(quoted(text_col)).alias("__text"), id_, *keep).mapInArrow(by_batch(run), out)
 
 
 def known_only(df: DataFrame, model: Model, least_coverage: float, text_col: str = "text") -> DataFrame:
@@ -217,6 +238,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of documents, learned from those not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     out = predict(docs, model)
