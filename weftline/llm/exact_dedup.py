@@ -14,10 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import BLANKS, bitmap, cut, mark, slot
+from weftline.llm.common import BLANKS, bitmap, cut, mark, quoted, slot
 
-#: Bits of a filter: 2 MB to broadcast.
-FILTER_BITS = 1 << 24
+#: Least and most bits of a filter: 2 MB to 128 MB to broadcast. Repeated keys that the most
+#: cannot tell apart make the second pass hash more rows than it needs, and change no result.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 30
+#: Bits for each row.
+BITS_A_ROW = 8
+#: Groups of more than this share of all rows are joined by a broadcast: one row for each.
+HOT = 1000
 
 
 def squeezed(text: Column) -> Column:
@@ -34,7 +39,7 @@ def exact_dedup(
     text_col: str = "text",
     *,
     head: int = 64,
-    bits: int = FILTER_BITS,
+    bits: int | None = None,
     digest: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``.
@@ -46,11 +51,14 @@ def exact_dedup(
     ``digest`` names a column to add with every row's own hash of the normalised text; other
     columns are ignored, so their names cannot clash.
 
-    head: characters in the prefix hash. bits: size of the two filters.
+    head: characters in the prefix hash. bits: size of the two filters, which otherwise
+    follows the number of rows. Texts of any length are hashed whole.
     """
     carry = [digest] if digest else []
     norm = squeezed(F.col("__text"))
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = df.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text"))
+    n = rows.count()
+    bits = bits or min(max(1 << (BITS_A_ROW * n).bit_length(), LEAST_BITS), MOST_BITS)
 
     by_length = slot(bits, F.char_length("__norm"))
     by_prefix = slot(bits, F.char_length("__norm"), F.substring("__norm", 1, head))
@@ -66,13 +74,20 @@ def exact_dedup(
     order = F.struct((-F.col("__chars")).alias("c"), F.col("__id").isNull().alias("n"), F.col("__id").alias("i"))
     groups = rows.where("__full is not null").groupBy(F.col("__full").alias("__g")).agg(F.min(order).alias("__best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     alone = rows.where("__full is null").select("__id", F.col("__id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), *carry)
-    found = rows.where("__full is not null").join(groups, F.col("__full") == F.col("__g"), "left")
+    groups = cut(groups)
+    # fewer than HOT groups have more than that share of the rows
+    hot = groups.where(F.col("group_size") > n / HOT)
+    hashed = rows.where("__full is not null")
+    of_hot = hashed.join(F.broadcast(hot), F.col("__full") == F.col("__g"))
+    others = hashed.join(F.broadcast(hot), F.col("__full") == F.col("__g"), "left_anti")
+    found = of_hot.unionByName(others.join(groups, F.col("__full") == F.col("__g"), "left"))
     found = found.select("__id", F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("__best.i")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), *carry)
     both = found.unionByName(alone)
     return both.select(F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), *carry)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup(docs, digest="text_sha256")
 
