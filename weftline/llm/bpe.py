@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import by_batch, texts
+from weftline.llm.common import by_batch, quoted, texts
 
 #: Entries of the cache of words in one Python worker; two generations of it are kept.
 WORD_ENTRIES = 300_000
@@ -226,7 +226,7 @@ def codec(path: str, pattern: str) -> TextCodec:
 
 
 def _with_text(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     return rows, rows.schema["id"].dataType.simpleString()
 
 
@@ -285,6 +285,7 @@ def round_trip(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id",
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and hashes of the ids and of what they decode to, of documents."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

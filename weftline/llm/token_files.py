@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import Generations
-from weftline.llm.common import cut, shared_dir, texts
+from weftline.llm.common import cut, own_folder, quoted, texts
 
 SEQUENCE = 2048
 #: Sequences in a batch.
@@ -165,7 +165,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
     alone; rows that repeat are each written; null ids come first; an empty table writes no
     file; other columns are ignored.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     kind = rows.schema["id"].dataType
     rows = rows.repartitionByRange("id").sortWithinPartitions("id")
 
@@ -224,8 +224,9 @@ def read_back(manifest: DataFrame, id_kind: str = "bigint") -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 as read back from the token files of documents."""
     import public_tokenizers
 
-    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "token-files")
     made = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return read_back(made, made.id_kind)
