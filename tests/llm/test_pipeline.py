@@ -68,10 +68,10 @@ def test_stages_on_odd_tables(spark):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     for _, stage in c.STAGES:
         assert stage(spark, spark.createDataFrame([], schema), D).collect() == []
-    rows = [(1, None, "en", None, None), (1, "one two three four", "en", "a", 3), (1, "one two three four", "en", "a", 3), (None, "five six", None, "b", 8), (2, "", "en", "a", 0), (3, "w " * 100_000, "en", "a", 1)]
+    rows = [(1, None, "en", None, None), (1, "one two three four", "en", "a", 3), (1, "one two three four", "en", "a", 3), (None, "three four one", None, "b", 14), (2, "", "en", "a", 0), (3, "w " * 100_000, "en", "a", 1)]
     df = spark.createDataFrame(rows, schema)
     by = {n: stage(spark, df, D).collect() for n, stage in c.STAGES}
     assert sorted(r.doc_id or 0 for r in by["language ID"]) == [0, 1, 1, 3]
-    assert [r.text for r in by["line dedup"] if r.doc_id is None] == ["five six"]
+    assert [r.text for r in by["line dedup"] if r.doc_id is None] == ["three four one"]
     assert len(by["near dedup"]) == 6 and len(by["byte-level BPE"]) == 6
     assert {r.text for r in by["mixing"]} <= {r[1] for r in rows}
