@@ -11,7 +11,7 @@ from weftline.joblog import JobLog
 from weftline.operators import dynamic, record_wise
 from weftline.plans.catalogue import chain
 from weftline.plans.spec import DagError
-from weftline.sources.readers import read
+from weftline.sources.readers import read, read_csv, read_jsonl
 from weftline.streaming import incremental
 
 
@@ -226,3 +226,22 @@ def test_words_break_at_any_white_space(spark):
     df = spark.createDataFrame([(t,), (" ,",), (None,), ("a\u200bb",)], "t string")
     got = [r[0] for r in record_wise.flat_map(df, "split:t").collect()]
     assert got == ["w"] * 26 + [" ,", None, "a\u200bb"]
+
+
+def test_several_outputs_share_what_they_have_in_common(spark, tmp_path):
+    ops = {"r": {"Read": {"uri": f"{D}/nation.parquet", "format": "parquet"}}, "m": {"Map": {"script": "uppercase"}}}
+    ops |= {f"w{i}": {"Write": {"uri": str(tmp_path / f"w{i}"), "format": "parquet"}} for i in range(2)} | {"f": {"Filter": {"predicate": "gt:n_regionkey=2"}}}
+    doc = {"nodes": [{"id": k, "operator": v} for k, v in ops.items()], "edges": [{"from": a, "to": b} for a, b in (("r", "m"), ("m", "w0"), ("m", "f"), ("f", "w1"))]}
+    job = Engine(spark).submit(doc)
+    assert job.state == JobStatus.SUCCEEDED and [x.schema.names for x in job._kept()] == [["n_nationkey", "n_name", "n_regionkey"]]
+    assert spark.read.parquet(str(tmp_path / "w0")).count() == 25 and spark.read.parquet(str(tmp_path / "w1")).count() == 10
+    assert job.metrics() == {"w0": 25, "w1": 10} and not job.frames["m"].is_cached
+    assert sum(1 for _ in job.records()) in (10, 25)
+
+
+def test_records_and_read_aliases(spark, tmp_path):
+    p = put(tmp_path, "a.csv", "k,n\na,1\nb,\n")
+    doc = {"nodes": [{"id": "r", "operator": {"read_csv": {"uri": p}}}], "edges": []}
+    assert list(Engine(spark).submit(doc).records()) == [{"k": "a", "n": "1"}, {"k": "b", "n": ""}]
+    assert list(Engine(spark, mode="dynamic").submit(doc).records()) == [{"k": "a", "n": 1}, {"k": "b", "n": ""}]
+    assert read_jsonl(spark, put(tmp_path, "b.jsonl", '{"a":1}\n')).collect()[0].a == 1 and read_csv(spark, p).count() == 2

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import threading
 import time
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from enum import Enum
 from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.config import Config
 from weftline.functions.dsl import NotationError
@@ -81,7 +85,10 @@ class Job:
         self._now(JobStatus.RUNNING)
         sc = self.spark.sparkContext
         sc.setJobGroup(self.job_id, f"graph {self.job_id}")
+        kept = self._kept()
         try:
+            for df in kept:
+                df.persist()
             for node in self.dag.nodes:
                 if node.kind == "Write":
                     self.outputs.append(writers.write(self.frames[node.id], node.params["uri"], node.params["format"]))
@@ -94,8 +101,35 @@ class Job:
         except Exception as e:  # the job reports it; callers see it in status()
             self.ended, self.error, self.kind = time.time(), str(e), error_kind(e)
             self._now(JobStatus.FAILED)
+        finally:
+            for df in kept:
+                df.unpersist()
         return self
 
+    def _goals(self) -> list[str]:
+        """Nodes that are run: each Write, and the last sink if its result is asked for."""
+        goals = [n.id for n in self.dag.nodes if n.kind == "Write"]
+        last = self.dag.sinks()[-1]
+        return goals + [last] * (bool(self.output) or not goals)
+
+    def _above(self, goal: str) -> set[str]:
+        seen, left = set(), [goal]
+        while left:
+            x = left.pop()
+            if x not in seen:
+                seen.add(x)
+                left += self.dag.parents(x)
+        return seen
+
+    def _kept(self) -> list[DataFrame]:
+        """What several outputs share where their graphs part, to be computed once.
+
+        Not scans: reading again what each output needs is cheaper than keeping all columns.
+        """
+        uses = Counter(x for goal in self._goals() for x in self._above(goal))
+        shared = {k for k, n in uses.items() if n > 1}
+        return [self.frames[n.id] for n in self.dag.nodes if n.id in shared and n.kind not in ("Read", "Identity") and not set(self.dag.children(n.id)) <= shared]
+
     def start(self) -> Job:
         self._now(JobStatus.PENDING)
         self._thread = threading.Thread(target=self.run, daemon=True)
@@ -139,16 +173,13 @@ class Job:
 
     def _ran(self, node_id: str) -> bool:
         """Whether the node feeds something that was run."""
-        goal = {n.id for n in self.dag.nodes if n.kind == "Write"} or {self.dag.sinks()[-1]}
-        if self.output:
-            goal.add(self.dag.sinks()[-1])
-        seen, left = set(), list(goal)
-        while left:
-            x = left.pop()
-            if x not in seen:
-                seen.add(x)
-                left += self.dag.parents(x)
-        return node_id in seen
+        return any(node_id in self._above(goal) for goal in self._goals())
+
+    def records(self) -> Iterator[dict[str, Any]]:
+        """The result's records one by one, a partition at a time on the driver."""
+        df = self.to_df()
+        text = F.to_json("rec") if df.dtypes == [("rec", "variant")] else F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        return (json.loads(r[0]) for r in df.select(text).toLocalIterator())
 
     def status(self) -> dict[str, Any]:
         took = (self.ended or time.time()) - self.started if self.started else None

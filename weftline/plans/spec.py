@@ -31,6 +31,9 @@ OPERATORS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "Write": (("uri", "format"), ()),
 }
 
+#: Other names of Read, with the format that they imply.
+READ_ALIASES = {"read_csv": "csv", "read_jsonl": "jsonl"}
+
 
 @dataclass(frozen=True)
 class Node:
@@ -139,6 +142,8 @@ def _parse_node(raw: dict[str, Any]) -> Node:
     if not isinstance(op, dict) or len(op) != 1:
         raise DagError(f"node '{node_id}': an operator is one name with its parameters")
     kind, params = next(iter(op.items()))
+    if kind in READ_ALIASES:
+        kind, params = "Read", {"format": READ_ALIASES[kind], **(params or {})}
     if kind not in OPERATORS:
         raise DagError(f"node '{node_id}': unknown operator '{kind}'")
     params = dict(params or {})

@@ -44,6 +44,14 @@ def _not_blank(c: Column) -> Column:
     return c.rlike(r"(?U)\S")
 
 
+def read_csv(spark: SparkSession, uri: str, mode: str = "typed") -> DataFrame:
+    return read(spark, uri, "csv", mode)
+
+
+def read_jsonl(spark: SparkSession, uri: str, mode: str = "typed") -> DataFrame:
+    return read(spark, uri, "jsonl", mode)
+
+
 def _csv_rows(spark: SparkSession, uri: str) -> tuple[list[str], DataFrame]:
     """Header names and a frame of trimmed cells, split at every comma without quoting.
 
