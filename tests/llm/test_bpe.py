@@ -71,3 +71,17 @@ def test_frames(spark):
     back = bpe.decode(out, PATH, P.PATTERN)
     assert {bytes(r.bytes) for r in back.collect()} == {b"hello world", b""}
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN, with_ids=True).collect() == []
+
+
+def test_query_equals_the_library(spark, reference):
+    import hashlib
+
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{d}/documents.parquet'").fetchall())
+    want = set()
+    for i, t in texts.items():
+        ids = array("I", reference.encode_ordinary(t or "")).tobytes()
+        want.add((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op1_byte_bpe(spark, d).collect()} == want

@@ -161,3 +161,24 @@ def test_pipeline_mixes_whole_documents(spark):
     assert all(abs(taken[s] - goal[s]) <= largest[s] / 2 + 1 or taken[s] == largest[s] for s in "abcdf")
     # its target is a few words, and it has one document
     assert 0 < goal["e"] < 100 and taken["e"] == 5000
+
+
+def test_query_keeps_its_contract(spark):
+    import re
+
+    import duckdb
+
+    from weftline.llm.mixing import op8_mixing
+
+    d = "/root/testdata/sf0.001"
+    docs = {i: (s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, s, t in duckdb.sql(f"SELECT doc_id, source, text FROM '{d}/documents.parquet'").fetchall()}
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for s, n in docs.values():
+        sizes[s] += n
+    goal, got = expected(sizes), op8_mixing(spark, d).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        s, n = docs[r.doc_id]
+        assert (r.size, r.source_size) == (n, sizes[s]) and r.target == pytest.approx(goal[s]) and 0 <= r.taken <= 3 * n
+        taken[s] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in sizes)

@@ -55,3 +55,10 @@ def test_sequences_and_masks(spark):
 
 def test_empty_table(spark):
     check(spark, [])
+
+
+def test_clashing_names(spark):
+    folder = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    df = spark.createDataFrame([(1, "a b", 7, "x"), (2, None, 8, "y")], "`doc.id` bigint, `text` string, id int, start string")
+    got = read_back(write(df, folder, PATH, "doc.id")).collect()
+    assert [(r.doc_id, r.n_tokens) for r in sorted(got)] == [(1, 3), (2, 1)]

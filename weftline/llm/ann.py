@@ -26,8 +26,8 @@ from weftline.llm.common import quoted
 #: Pivots, at most and as a share of the vectors: the sample that the index is fitted on.
 PIVOTS, PIVOT_SHARE = 2048, 0.5
 #: Share of a segment that is ranked by true cosine, and at least so many vectors.
-SHARE = 0.2
-LEAST = 64
+SHARE = 0.25
+LEAST = 128
 #: Vectors of a segment, about, and queries that are taken at once.
 SEGMENT, QUERIES = 4096, 256
 

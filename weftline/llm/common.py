@@ -32,9 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
+_TO_CLEAN: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute now and keep the rows in the shared folder, where they survive lost executors."""
-    shared_dir(df.sparkSession)
+    """Compute now and keep the rows in the shared folder, where they survive lost executors.
+
+    The session's own folder of checkpoints goes when Python ends; a session that sets
+    spark.cleaner.referenceTracking.cleanCheckpoints drops each one as its frame goes.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    at = spark.sparkContext.getCheckpointDir()
+    if at not in _TO_CLEAN:
+        _TO_CLEAN.add(at)
+        _delete_at_exit(spark, at)
     return df.checkpoint()
 
 
@@ -44,15 +56,18 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, removed when Python ends if not before."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
     def drop() -> None:
         with contextlib.suppress(Exception):  # the JVM may be gone already
             delete(spark, path)
 
     atexit.register(drop)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when Python ends if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _delete_at_exit(spark, path)
     return path
 
 
