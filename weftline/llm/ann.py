@@ -27,7 +27,7 @@ from weftline.llm.common import quoted
 PIVOTS, PIVOT_SHARE = 2048, 0.5
 #: Share of a segment that is ranked by true cosine, and at least so many vectors.
 SHARE = 0.25
-LEAST = 128
+LEAST = 256
 #: Vectors of a segment, about, and queries that are taken at once.
 SEGMENT, QUERIES = 4096, 256
 
