@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import quoted
+from weftline.llm.common import begin, quoted
 
 #: Pivots, at most and as a share of the vectors: the sample that the index is fitted on.
 PIVOTS, PIVOT_SHARE = 2048, 0.5
@@ -169,6 +169,7 @@ def search(
         return pa.RecordBatch.from_pydict({"query_id": pa.array(qs, pa.int64()), "vec_id": pa.array(vs, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         pivot, lane, ids, vectors, seg = shared.value, None, [], [], None
         for b in batches:
             if not b.num_rows:

@@ -243,7 +243,7 @@ def encode(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["id", "ids", "n_tokens"])
 
     rows, kind = _with_text(df, id_col, text_col)
-    return rows.mapInArrow(by_batch(run), f"id {kind}, ids binary, n_tokens bigint").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(by_batch(run, "bpe", codec.cache_clear), f"id {kind}, ids binary, n_tokens bigint").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -255,7 +255,7 @@ def decode(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", ids_
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "bytes"])
 
     rows, kind = _with_text(df, id_col, ids_col)
-    return rows.mapInArrow(by_batch(run), f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(by_batch(run, "bpe", codec.cache_clear), f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
 def round_trip(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -281,7 +281,7 @@ def round_trip(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id",
 
     rows, kind = _with_text(df, id_col, text_col)
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return rows.mapInArrow(by_batch(run), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(by_batch(run, "bpe", codec.cache_clear), schema).withColumnRenamed("id", id_col)
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -138,17 +138,44 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: What drops the caches that an operator keeps in this Python worker from task to task.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def begin(owner: str = "", drop: Callable[[], None] | None = None) -> None:
+    """To be called where a task's Python begins: drops what other operators have left here.
+
+    Workers serve one stage after the other, and caches that pay while a stage lasts would
+    stand in the way of the next.
+    """
+    others = [k for k in _HELD if k != owner]
+    for k in others:
+        _HELD.pop(k)()
+    if others:
+        gc.collect()
+    if drop:
+        _HELD[owner] = drop
+
+
+def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], owner: str = "", drop: Callable[[], None] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function out of one for a single batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
+        begin(owner, drop)
+        for b in slices(batches):
+            if (out := fn(b)) is not None:
                 yield out
 
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that Python holds few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; a null is empty."""
     return [x or "" for x in column.to_pylist()]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Kept, bitmap, cut, fresh, mark, quoted, release, slot
+from weftline.llm.common import Kept, begin, bitmap, cut, fresh, mark, quoted, release, slices, slot
 from weftline.llm.shingles import BLOCK, mixed, word_hashes
 
 #: Similarity of a match, in per cent.
@@ -50,7 +50,7 @@ EACH, HEADS = 8, 32
 #: Lines, or postings, that a task gathers before it packs or sorts them.
 GATHER, HOLD = 1 << 18, 1 << 20
 #: Pairs that are put to the filters at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 AT = np.dtype([("doc", "<i8"), ("line", "<i4")])
 LINE = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("parity", "<u8"), ("half", "<u8")])
@@ -95,8 +95,9 @@ def word_counts(df: DataFrame, text_col: str) -> np.ndarray:
     chunk = 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         seen = np.zeros(COUNTERS, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for _, _, block in _lines(b.column(0).to_pylist()):
                 seen += np.bincount(_counter(word_hashes(block)[0]), minlength=COUNTERS)
         for i in range(0, COUNTERS, chunk):
@@ -236,6 +237,7 @@ def _classes(rows: DataFrame, counts: np.ndarray, percent: int, parts: int) -> D
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         held, turn = _Classes(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -251,7 +253,7 @@ def _classes(rows: DataFrame, counts: np.ndarray, percent: int, parts: int) -> D
                 some = order[ends[p] : ends[p + 1]]
                 yield _row(p, packed(lines[some]), words[_ranges(start[some], n[some])].tobytes())
 
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for of, no, block in _lines(b.column(1).to_pylist()):
                 words, n = ordered_sets(block, shared.value)
@@ -276,6 +278,7 @@ def _postings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     """Packed postings of the first of each class, by a part of their word; lines that go pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         held, now, posts, n_posts, turn = _Classes(), None, [], 0, 0
 
         def deal() -> Iterator[pa.RecordBatch]:
@@ -480,6 +483,7 @@ def _candidates(postings: DataFrame, percent: int, small: int, each: int, heads:
     """Candidate pairs, lines that go, classes with more candidates and the postings for those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         now, part = None, _Part(percent, small, each, heads)
         for b in batches:
             for key, at in zip(b.column(0), b.column(1), strict=True):

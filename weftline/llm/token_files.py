@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import Generations
-from weftline.llm.common import cut, own_folder, quoted, texts
+from weftline.llm.common import begin, cut, own_folder, quoted, texts
 
 SEQUENCE = 2048
 #: Sequences in a batch.
@@ -172,6 +172,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        begin("words", words.cache_clear)
         shard, path, out, n = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.arrow", None, 0
         ids, starts, sizes = [], [], []
         w = words(tokenizer)
