@@ -17,4 +17,4 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE) and len(QUERIES) == 49
+    assert set(QUERIES) == set(ORACLE) and len(QUERIES) == 60

@@ -193,12 +193,12 @@ def _props(spark: SparkSession, d: str) -> DataFrame:
 _add("json_props_expand", "SELECT CAST(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS sum_k FROM events", _props)
 
 
-def _from_text(name: str, sql: str, fmt: str, make: Callable[[SparkSession, str], DataFrame], *ops: dict | str, then: Callable[[DataFrame], DataFrame] = lambda df: df, **options) -> None:
-    """A graph over lines of text that are first written to files of a format."""
+def _from_text(name: str, sql: str, fmt: str, make: Callable[[SparkSession, str, str], None], *ops: dict | str, then: Callable[[DataFrame], DataFrame] = lambda df: df, **options) -> None:
+    """A graph over files of a format, which are written first."""
 
     def build(spark: SparkSession, d: str) -> DataFrame:
         folder = scratch(spark)
-        make(spark, d).write.text(folder)
+        make(spark, d, folder)
         doc = chain(d, "region", *ops)
         doc["nodes"][0]["operator"] = {"Read": {"uri": folder, "format": fmt}}
         return then(run(spark, doc, **options))
@@ -206,29 +206,26 @@ def _from_text(name: str, sql: str, fmt: str, make: Callable[[SparkSession, str]
     _add(name, sql, build)
 
 
-def _csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Several files, each with a header, blanks and tabs around cells and lines of a tab."""
-    rows = spark.read.parquet(f"{d}/customer.parquet").repartitionByRange(24, "c_custkey")
-    cells = F.concat_ws(",", F.concat(F.lit("\t"), F.col("c_custkey").cast("string")), F.concat("c_name", F.lit(" ")), F.col("c_nationkey").cast("string"), F.col("c_acctbal").cast("string"))
-    lines = rows.select(F.spark_partition_id().alias("p"), F.col("c_custkey").alias("k"), F.array(cells, F.lit("\t")).alias("l"))
-    head = lines.groupBy("p").agg(F.lit(-1).cast("bigint").alias("k"), F.array(F.lit(" key,name ,nation,balance")).alias("l"))
-    every = lines.unionByName(head).repartition(24, "p").sortWithinPartitions("p", "k")
-    return every.select(F.explode("l").alias("value"))
+def _csv_files(spark: SparkSession, d: str, folder: str) -> None:
+    """Several files, each with a header, and blanks and tabs around cells."""
+    cells = [F.concat(F.lit("\t"), F.col("c_custkey").cast("string")).alias(" key"), F.concat("c_name", F.lit(" ")).alias("name "), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")]
+    rows = spark.read.parquet(f"{d}/customer.parquet").repartitionByRange(24, "c_custkey").select(*cells)
+    rows.write.options(header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
 
 
-def _json_lines(spark: SparkSession, d: str) -> DataFrame:
+def _json_lines(spark: SparkSession, d: str, folder: str) -> None:
     rows = spark.read.parquet(f"{d}/nation.parquet").select(F.to_json(F.struct("n_nationkey", "n_name", F.struct("n_regionkey").alias("at"))).alias("j"))
-    return rows.select(F.explode(F.array(F.concat(F.lit("\t"), "j"), F.lit(" \t"))).alias("value"))
+    rows.select(F.explode(F.array(F.concat(F.lit("\t"), "j"), F.lit(" \t"))).alias("value")).write.text(folder)
 
 
-def _json_array(spark: SparkSession, d: str) -> DataFrame:
+def _json_array(spark: SparkSession, d: str, folder: str) -> None:
     rows = spark.read.parquet(f"{d}/nation.parquet").agg(F.collect_list(F.to_json(F.struct("n_nationkey", "n_name"))).alias("j"))
-    return rows.select(F.explode(F.array(F.lit("\t"), F.concat(F.lit(" ["), F.array_join("j", ","), F.lit("]")))).alias("value")).coalesce(1)
+    rows.select(F.explode(F.array(F.lit("\t"), F.concat(F.lit(" ["), F.array_join("j", ","), F.lit("]")))).alias("value")).coalesce(1).write.text(folder)
 
 
 _NATION_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name"
-_from_text("read_csv", "SELECT c_custkey AS key, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS balance FROM customer", "csv", _csv_lines)
-_from_text("read_csv_dynamic", "SELECT CAST(sum(c_custkey) AS DOUBLE) AS sum_key FROM customer", "csv", _csv_lines, Reduce("sum:key"), mode="dynamic")
+_from_text("read_csv", "SELECT c_custkey AS key, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS balance FROM customer", "csv", _csv_files)
+_from_text("read_csv_dynamic", "SELECT CAST(sum(c_custkey) AS DOUBLE) AS sum_key FROM customer", "csv", _csv_files, Reduce("sum:key"), mode="dynamic")
 _from_text("read_jsonl", f"{_NATION_SQL}, CAST(n_regionkey AS BIGINT) AS region FROM nation", "jsonl", _json_lines, then=lambda df: df.select("n_nationkey", "n_name", F.col("at.n_regionkey").alias("region")))
 _from_text("read_ndjson", "SELECT CAST(n_regionkey AS BIGINT)*2 AS region FROM nation", "ndjson", _json_lines, Map("double"), mode="dynamic", then=lambda df: df.select(F.variant_get("rec", "$.at.n_regionkey", "bigint").alias("region")))
 _from_text("read_json", f"{_NATION_SQL} FROM nation", "json", _json_array)
@@ -255,7 +252,7 @@ _dynamic("reduce_by_key_dynamic", "SELECT CAST(o_custkey AS VARCHAR) AS o_custke
 
 def _one_partition_a_key(df: DataFrame) -> DataFrame:
     key = F.variant_get("rec", "$.o_custkey", "bigint")
-    return df.groupBy(key.alias("o_custkey")).agg(F.count_distinct(F.spark_partition_id()).alias("n_partitions"), F.count(F.lit(1)).alias("n"))
+    return df.select(key.alias("o_custkey"), F.spark_partition_id().alias("p")).groupBy("o_custkey").agg(F.count_distinct("p").alias("n_partitions"), F.count(F.lit(1)).alias("n"))
 
 
 _dynamic("shuffle_by_key_dynamic", "SELECT o_custkey, CAST(1 AS BIGINT) AS n_partitions, count(*) AS n FROM orders GROUP BY o_custkey", "orders", lambda: F.struct("o_custkey"), {"ShuffleByKey": {"key": "o_custkey", "total_partitions": 8}}, then=_one_partition_a_key)
