@@ -61,8 +61,9 @@ class Generations(dict):
 class PrefixBPE:
     """Encodes pieces by a table of ranks, as a merge loop over it would."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], cache: float = 1.0):
         self.ranks = ranks
+        self.prefix_entries, self.pair_entries = int(cache * PREFIX_ENTRIES), max(int(cache * PAIR_ENTRIES), 1 << 18)
         self.tokens = {v: k for k, v in ranks.items()}
         #: all endings of tokens, with the token or -1: what is none of them ends a search
         self.ends = {t[i:]: -1 for t in ranks for i in range(len(t))} | ranks
@@ -92,7 +93,7 @@ class PrefixBPE:
         key = a << 32 | b
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) >= PAIR_ENTRIES:
+            if len(self.pairs) >= self.pair_entries:
                 self.pairs.clear()
             got = self.pairs[key] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return got
@@ -110,7 +111,7 @@ class PrefixBPE:
     def shared(self, data: bytes) -> list[int]:
         """Encode a short piece, going on from the longest prefix met in earlier pieces."""
         known, ends, pairs = self.known, self.ends, self.pairs
-        if len(known) >= PREFIX_ENTRIES:
+        if len(known) >= self.prefix_entries:
             known.clear()
         at = len(data)
         while at and data[:at] not in known:
@@ -199,10 +200,10 @@ class TextCodec:
     texts are cut there first and the ids of each cut are remembered.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.bpe, self.pattern = PrefixBPE(ranks), regex.compile(pattern)
-        self.piece = Generations(lambda p: array("I", self.bpe.encode_piece(p.encode())).tobytes(), PIECE_ENTRIES)
-        self.spaced = Generations(lambda w: self._cut(" " + w), WORD_ENTRIES)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: float = 1.0):
+        self.bpe, self.pattern = PrefixBPE(ranks, cache), regex.compile(pattern)
+        self.piece = Generations(lambda p: array("I", self.bpe.encode_piece(p.encode())).tobytes(), int(cache * PIECE_ENTRIES))
+        self.spaced = Generations(lambda w: self._cut(" " + w), int(cache * WORD_ENTRIES))
         self.safe = re.compile(r"(?<=\S) (?=\S)")
         self.unsafe = re.compile(r"\A | \Z| \s|[^\S ] ")
 
@@ -220,9 +221,12 @@ class TextCodec:
 
 
 @cache
-def codec(path: str, pattern: str) -> TextCodec:
-    """One for each vocabulary in a Python worker; its caches serve all the worker's tasks."""
-    return TextCodec(load_ranks(path), pattern)
+def codec(path: str, pattern: str, cache: float = 1.0) -> TextCodec:
+    """One for each vocabulary in a Python worker; its caches serve all the worker's tasks.
+
+    ``cache`` is their size as a share of the usual one, which trades time for memory.
+    """
+    return TextCodec(load_ranks(path), pattern, cache)
 
 
 def _with_text(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -258,15 +262,15 @@ def decode(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", ids_
     return rows.mapInArrow(by_batch(run, "bpe", codec.cache_clear), f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(df: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: float = 1.0) -> DataFrame:
     """Encode and decode in one pass: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
-    ``with_ids`` adds ``ids``, packed as in TextCodec. Nulls, repeats and empty tables as in
+    ``with_ids`` adds ``ids``, packed as in TextCodec; ``cache`` as in codec(). Nulls, repeats and empty tables as in
     encode().
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(vocab, pattern)
+        c = codec(vocab, pattern, cache)
         n, a, b, every = [], [], [], []
         for t in texts(batch.column(1)):
             ids = c.encode(t)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -153,6 +154,10 @@ def begin(owner: str = "", drop: Callable[[], None] | None = None) -> None:
         _HELD.pop(k)()
     if others:
         gc.collect()
+    # what was freed goes back to the system, which the JVM beside this worker needs
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other than glibc
+        ctypes.CDLL(None).malloc_trim(0)
     if drop:
         _HELD[owner] = drop
 
@@ -169,6 +174,16 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], owner: str =
     return run
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Send rows to Python in batches of so many at most, from now on in this session.
+
+    Texts are long: Spark's 10,000 rows are tens of MB in the JVM and again in Python.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that Python holds few texts at a time."""
     for b in batches:
