@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, language, line_dedup, mixing, near_dedup
-from weftline.llm.common import delete, drop_ids, own_folder
+from weftline.llm.common import delete, drop_ids, own_folder, small_batches
 
 #: Share of a text's n-grams that its language must know.
 LEAST_COVERAGE = 0.2
+#: Share of the usual size of the tokenizer's caches: executors come from other stages here, with a full heap.
+CACHE = 0.1
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -23,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and blank texts have no letters. Repeated rows are judged each; without a labelled
     row no language is known and all go; whole texts of any length are read.
     """
+    small_batches(spark)
     return language.known_only(docs, language.fit(docs), LEAST_COVERAGE).select(*COLUMNS)
 
 
@@ -32,6 +35,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id are one document; null ids and null texts are left alone. Of tied
     lines the first by id and line stays.
     """
+    small_batches(spark)
     out = line_dedup.line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
     return out.where("n_removed = 0 or trim(text) <> ''").select(*COLUMNS)
 
@@ -42,6 +46,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and blank texts are no duplicates; rows that repeat an id share its verdict; rows
     without an id stay.
     """
+    small_batches(spark)
     found = near_dedup.near_duplicates(docs)
     return drop_ids(docs, "doc_id", found.where("not kept").select("doc_id")).select(*COLUMNS)
 
@@ -52,12 +57,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id, or have none, are taken each for itself; a null source is a
     source; documents without words are in no mix; an empty table stays empty.
     """
+    small_batches(spark)
     return mixing.mixed(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and what they decode to; a null text has no ids."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    small_batches(spark)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, cache=CACHE)
 
 
 STAGES = [
