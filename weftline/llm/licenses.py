@@ -6,7 +6,8 @@ file, as many as an opening or a short licence has, and the whole text of a lice
 Units and templates are sparse TF-IDF vectors. Document frequencies of all terms are counted
 over all files and joined to the terms of the scored units only. By Cauchy-Schwarz a unit
 cannot reach the threshold unless it has some of a template's terms that weigh enough
-together; of those, the rarest are its anchors, and only units with an anchor are scored.
+together; of those, the rarest are its anchors. Only units with an anchor, and then with
+enough of a template's weight, are scored.
 An SPDX tag states its licence itself.
 
 A file without a licence of its own takes that of the nearest directory above it (its own
@@ -16,9 +17,11 @@ ancestors. Everything on rows is DataFrame functions.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +88,23 @@ def _array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def _may_reach(words: Column, vocab: list[str], vectors: list[dict[str, float]], threshold: float) -> Column:
+    """Whether the terms that a unit shares with some template weigh enough for the threshold.
+
+    A template's vector is of length one, so a unit's cosine is never more than the length of
+    the part that the unit has terms for.
+    """
+    squares = json.dumps([[{"t": t, "w": x * x} for t, x in v.items()] for v in vectors])
+    table = F.from_json(F.lit(squares), "array<array<struct<t:string,w:double>>>")
+    shared = F.array_intersect(words, _array(vocab))
+
+    def enough(has: Column) -> Callable[[Column], Column]:
+        return lambda template: F.aggregate(template, F.lit(0.0), lambda a, x: a + F.when(F.array_contains(has, x["t"]), x["w"]).otherwise(0.0)) >= threshold**2 * (1 - 1e-9)
+
+    # an array of one binds what a unit shares, so that it is found once
+    return F.exists(F.array(shared), lambda has: F.exists(table, enough(has)))
+
+
 def _units(files: DataFrame) -> DataFrame:
     """path, unit and terms of what is compared with the templates."""
     text, path = F.col("text"), F.col("path")
@@ -115,7 +135,7 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], thres
     by_term = [(t, i, x) for i, v in enumerate(vectors) for t, x in v.items()]
     table = F.broadcast(spark.createDataFrame(by_term, "t_term string, template int, t_weight double"))
 
-    units = _units(files).where(F.arrays_overlap("terms", _array(heavy)))
+    units = _units(files).where(F.arrays_overlap("terms", _array(heavy))).where(_may_reach(F.col("terms"), vocab, vectors, threshold))
     tf = cut(units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("tf")))
     weight = cut(counts.join(tf.select("term").distinct(), "term").select(F.col("term").alias("w_term"), (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("weight")))
     few = weight.limit(FEW_TERMS + 1).count() <= FEW_TERMS
