@@ -176,3 +176,46 @@ def test_a_notice_stays_found_among_filler_files(spark):
         scores.append(got["a/x.c"].score)
     # every term is as common among 5000 files as among 50
     assert abs(scores[0] - scores[1]) < 0.02
+
+
+def test_long_units_around_a_notice_are_not_scored(spark, monkeypatch):
+    from weftline.llm import licenses
+
+    scored, cut = [], licenses.cut
+
+    def seen(df):
+        out = cut(df)
+        if set(df.columns) == {"path", "unit", "term", "tf"}:
+            scored.extend(out.select("path", "term", "tf").collect())
+        return out
+
+    monkeypatch.setattr(licenses, "cut", seen)
+    notice = "Released under the MIT License."
+    # without and with blank lines, on lines of its own and within a long one
+    texts = [[f"w{k}x{j}" for j in range(300)] for k in range(12)]
+    rows = [(f"a{k}/x", "\n".join(w[:150]) + f"\n{notice}\n" + "\n\n".join(w[150:])) for k, w in enumerate(texts)]
+    rows += [(f"b{k}/LICENSE", " ".join(w) + " " + notice) for k, w in enumerate(texts)]
+    assert run(spark, rows) == rounded(brute(rows))
+    assert sorted((r.path, r.term, r.tf) for r in scored) == sorted((f"a{k}/x", t, 1) for k in range(12) for t in toks(notice))
+
+
+def test_bounds_with_few_exact_weights_and_full_filters(spark, monkeypatch):
+    from weftline.llm import licenses
+
+    rows = [*ROWS, ("h/i.c", "the the the license of of of the file MIT MIT\nReleased under the MIT License.\n" + "a b c d the " * 50)]
+    rows += [(f"k{i}/y", "the program and a file of the user\n" * i + "Released under the MIT License. " + "the file " * i + "other words " * i) for i in range(6)]
+    monkeypatch.setattr(licenses, "BITS", 8)
+    for most in (0, 3):
+        monkeypatch.setattr(licenses, "COMMON", most)
+        assert run(spark, rows) == rounded(brute(rows))
+
+
+def test_tallies_in_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm.licenses import _tallies
+
+    words = ["b", "a", "c", "a", "", "c", "c"]
+    df = spark.createDataFrame([(words,), (["x"],), (["y", "y"],)], "terms array<string>")
+    got = [Counter({x.term: x.tf for x in r.t}) for r in df.select(_tallies(F.col("terms")).alias("t")).collect()]
+    assert got == [Counter(words), Counter("x"), Counter("yy")]

@@ -6,7 +6,10 @@ file, as many as an opening or a short licence has, and the whole text of a lice
 Units and templates are sparse TF-IDF vectors. Document frequencies of all terms are counted
 over all files and joined to the terms of the scored units only. By Cauchy-Schwarz a unit
 cannot reach the threshold unless it has some of a template's terms that weigh enough
-together; of those, the rarest are its anchors, and only units with an anchor are scored.
+together; of those, the rarest are its anchors. Nor can it if the terms that no template has
+make up too much of its own length. That length is first bounded from below, with the exact
+weights of the commonest terms and the least weight of all others, where a unit is read and
+without a shuffle of its terms; units that pass are read again and scored exactly.
 An SPDX tag states its licence itself.
 
 A file without a licence of its own takes that of the nearest directory above it (its own
@@ -23,7 +26,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, quoted
+from weftline.llm.common import Kept, bitmap, cut, fresh, mark, quoted, slot
 from weftline.llm.license_texts import HEADERS, NOTICES, OPENINGS, TEXTS
 
 #: By SPDX name; of equal cosines the first one counts.
@@ -43,6 +46,10 @@ GAP = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 HEADS = (120, 240)
 #: Terms of scored units up to which their weights are broadcast; beyond it the join shuffles.
 FEW_TERMS = 200_000
+#: Commonest terms whose exact weights bound the lengths of units; they are broadcast.
+COMMON = 1 << 16
+#: Bits of the filters that tell which files, units and terms are needed for exact scores.
+BITS = 1 << 24
 
 
 def terms(text: Column) -> Column:
@@ -99,12 +106,65 @@ def _units(files: DataFrame) -> DataFrame:
     return cuts.unionByName(heads).unionByName(whole)
 
 
+def _tallies(words: Column) -> Column:
+    """Each distinct one of ``words`` (one at least) as term and tf, in the row itself."""
+
+    # an array of one binds a value, so that it is found once
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.get(F.transform(F.array(first), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(words)), runs), F.lit(0))
+
+
+def _least_common(counts: DataFrame, most: int) -> int:
+    """A number of files that at most ``most`` terms reach."""
+    level = F.floor(F.log2("n") * 8).alias("level")
+    # at most a few hundred rows
+    levels = counts.groupBy(level).agg(F.count(F.lit(1)).alias("terms"), F.min("n").alias("low"), F.max("n").alias("high")).collect()
+    levels.sort(key=lambda r: -r["level"])
+    least, terms_ = levels[0]["high"] + 1 if levels else 1, 0
+    for r in levels:
+        terms_ += r["terms"]
+        if terms_ > most:
+            break
+        least = r["low"]
+    else:
+        least = 1
+    return least
+
+
+def _may_reach(units: DataFrame, counts: DataFrame, n: int, weights: dict[str, float], threshold: float) -> DataFrame:
+    """path and unit of those whose terms of templates weigh enough in a length not above their own.
+
+    A template's vector is of length one and has no other terms, so a unit's cosine is at most
+    the length of its part in the templates' terms over its whole length.
+    """
+    least = _least_common(counts, COMMON)
+    others = counts.where((F.col("n") >= least) & ~F.col("term").isin(list(weights)))
+    others = others.select(F.col("term").alias("b_term"), (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("b_weight"), F.lit(False).alias("known"))
+    known = units.sparkSession.createDataFrame([(t, x, True) for t, x in weights.items()], "b_term string, b_weight double, known boolean")
+    rows = units.select("path", "unit", F.inline(_tallies(F.col("terms"))))
+    rows = rows.join(F.broadcast(others.unionByName(known)), F.col("term") == F.col("b_term"), "left")
+    w = F.col("tf") * F.coalesce("b_weight", F.lit(idf(n, least - 1)))
+    sums = rows.groupBy("path", "unit").agg(F.sum(F.when(F.col("known"), w * w)).alias("part"), F.sum(w * w).alias("whole"))
+    return sums.where(F.col("part") >= F.col("whole") * threshold**2 * (1 - 1e-9)).select("path", "unit")
+
+
+def _those_in(df: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
+    """Rows of ``df`` whose ``cols`` ``keys`` has too, and the few that a filter takes for such."""
+    (flag,) = fresh(df, "in")
+    filt = bitmap(keys.select(slot(BITS, *map(F.col, cols)).alias("at")), "at")
+    return mark(df, slot(BITS, *map(F.col, cols)), filt, flag).where(F.col(flag)).drop(flag)
+
+
 def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
     """path, license, score of the files (path, text) in which a unit reaches the threshold."""
     vocab = sorted({t for _, text in templates for t in template_terms(text)})
     met = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     n = files.count()
-    counts = cut(met.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    kept = Kept(met.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    counts = kept.df
     # at most one row for each template term
     seen = {r["term"]: r["n"] for r in counts.where(F.col("term").isin(vocab)).collect()}
     weights = {t: idf(n, seen.get(t, 0)) for t in vocab}
@@ -115,11 +175,14 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], thres
     by_term = [(t, i, x) for i, v in enumerate(vectors) for t, x in v.items()]
     table = F.broadcast(spark.createDataFrame(by_term, "t_term string, template int, t_weight double"))
 
-    units = _units(files).where(F.arrays_overlap("terms", _array(heavy)))
+    anchored = _units(files).where(F.arrays_overlap("terms", _array(heavy)))
+    near = cut(_may_reach(anchored, counts, n, weights, threshold))
+    units = _those_in(_units(_those_in(files, near, "path")), near, "path", "unit")
     tf = cut(units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("tf")))
-    weight = cut(counts.join(tf.select("term").distinct(), "term").select(F.col("term").alias("w_term"), (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("weight")))
+    weight = cut(_those_in(counts, tf, "term").select(F.col("term").alias("w_term"), (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("weight")))
     few = weight.limit(FEW_TERMS + 1).count() <= FEW_TERMS
     w = cut(tf.join(F.broadcast(weight) if few else weight, F.col("term") == F.col("w_term")).select("path", "unit", "term", (F.col("tf") * F.col("weight")).alias("w")))
+    kept.drop()
     norms = w.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size")).select(F.col("path").alias("n_path"), F.col("unit").alias("n_unit"), "size")
     dots = w.join(table, F.col("term") == F.col("t_term")).groupBy("path", "unit", "template").agg(F.sum(F.col("w") * F.col("t_weight")).alias("dot"))
     scored = dots.join(norms, (F.col("path") == F.col("n_path")) & (F.col("unit") == F.col("n_unit")))
