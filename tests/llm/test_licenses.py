@@ -219,3 +219,22 @@ def test_tallies_in_a_row(spark):
     df = spark.createDataFrame([(words,), (["x"],), (["y", "y"],)], "terms array<string>")
     got = [Counter({x.term: x.tf for x in r.t}) for r in df.select(_tallies(F.col("terms")).alias("t")).collect()]
     assert got == [Counter(words), Counter("x"), Counter("yy")]
+
+
+def test_long_units_of_common_words_are_not_scored(spark, monkeypatch):
+    from weftline.llm import licenses
+
+    scored, cut = [], licenses.cut
+
+    def seen(df):
+        out = cut(df)
+        if set(df.columns) == {"path", "unit", "term", "tf"}:
+            scored.extend(out.select("path", "term", "tf").collect())
+        return out
+
+    monkeypatch.setattr(licenses, "cut", seen)
+    # nearly all of the long line's length is in two words that templates have too
+    notice = "Released under the MIT License."
+    rows = [(f"c{k}/x", "the of " * 500 + f"w{k} " + notice + "\n" + notice) for k in range(4)] + [(f"d{k}/y", "the of") for k in range(20)]
+    assert run(spark, rows) == rounded(brute(rows))
+    assert sorted((r.path, r.term, r.tf) for r in scored) == sorted((f"c{k}/x", t, 1) for k in range(4) for t in toks(notice))

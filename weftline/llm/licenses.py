@@ -134,21 +134,28 @@ def _least_common(counts: DataFrame, most: int) -> int:
     return least
 
 
-def _may_reach(units: DataFrame, counts: DataFrame, n: int, weights: dict[str, float], threshold: float) -> DataFrame:
+def _may_reach(units: DataFrame, counts: DataFrame, n: int, weights: dict[str, float], vectors: list[dict[str, float]], threshold: float) -> DataFrame:
     """path and unit of those whose terms of templates weigh enough in a length not above their own.
 
-    A template's vector is of length one and has no other terms, so a unit's cosine is at most
-    the length of its part in the templates' terms over its whole length.
+    A template's vector is of length one and has no other terms, so its product with a unit's is
+    at most the length of the unit's part in the templates' terms. Nor is it more than the sum of
+    that part with the most that each term has in any template, which is less for long texts.
     """
+    most: dict[str, float] = {}
+    for v in vectors:
+        for t, x in v.items():
+            most[t] = max(x, most.get(t, 0.0))
     least = _least_common(counts, COMMON)
     others = counts.where((F.col("n") >= least) & ~F.col("term").isin(list(weights)))
-    others = others.select(F.col("term").alias("b_term"), (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("b_weight"), F.lit(False).alias("known"))
-    known = units.sparkSession.createDataFrame([(t, x, True) for t, x in weights.items()], "b_term string, b_weight double, known boolean")
+    others = others.select(F.col("term").alias("b_term"), (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("b_weight"), F.lit(None).cast("double").alias("most"))
+    known = units.sparkSession.createDataFrame([(t, x, most[t]) for t, x in weights.items()], "b_term string, b_weight double, most double")
     rows = units.select("path", "unit", F.inline(_tallies(F.col("terms"))))
     rows = rows.join(F.broadcast(others.unionByName(known)), F.col("term") == F.col("b_term"), "left")
     w = F.col("tf") * F.coalesce("b_weight", F.lit(idf(n, least - 1)))
-    sums = rows.groupBy("path", "unit").agg(F.sum(F.when(F.col("known"), w * w)).alias("part"), F.sum(w * w).alias("whole"))
-    return sums.where(F.col("part") >= F.col("whole") * threshold**2 * (1 - 1e-9)).select("path", "unit")
+    sums = rows.groupBy("path", "unit").agg(F.sum(F.when(F.col("most").isNotNull(), w * w)).alias("part"), F.sum(w * F.col("most")).alias("dot"), F.sum(w * w).alias("whole"))
+    # cosines are rounded to nine digits
+    enough = max(0.0, threshold - 1e-9) ** 2 * (1 - 1e-9)
+    return sums.where(F.least("part", F.col("dot") * F.col("dot")) >= F.col("whole") * enough).select("path", "unit")
 
 
 def _those_in(df: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
@@ -176,7 +183,7 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...], thres
     table = F.broadcast(spark.createDataFrame(by_term, "t_term string, template int, t_weight double"))
 
     anchored = _units(files).where(F.arrays_overlap("terms", _array(heavy)))
-    near = cut(_may_reach(anchored, counts, n, weights, threshold))
+    near = cut(_may_reach(anchored, counts, n, weights, vectors, threshold))
     units = _those_in(_units(_those_in(files, near, "path")), near, "path", "unit")
     tf = cut(units.select("path", "unit", F.explode("terms").alias("term")).groupBy("path", "unit", "term").agg(F.count(F.lit(1)).alias("tf")))
     weight = cut(_those_in(counts, tf, "term").select(F.col("term").alias("w_term"), (F.log((1 + n) / (1 + F.col("n"))) + 1).alias("weight")))
